@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..runtime import BROADCAST_ROWS, utf8
 
 #: What outer blanks are, the placeholders that fit no column, and the spellings of booleans.
-BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PLACEHOLDERS = ("", "null", "none", "nil", "n/a", "undefined", "-", "?")
 TRUE_WORDS = ("true", "t", "yes", "y", "on", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "off", "0")
