@@ -107,5 +107,5 @@ def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     picked = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
     each = picked.select("__key", "__text", F.explode(cut(F.col("__text"))).alias("p"))
     size = (F.col("p.end_byte") - F.col("p.start_byte")).cast("int")
-    piece = F.make_valid_utf8(F.substring(F.encode("__text", F.lit("utf-8")), F.col("p.start_byte").cast("int") + 1, size).cast("string"))
+    piece = F.make_valid_utf8(F.substr(F.encode("__text", "utf-8"), (F.col("p.start_byte") + 1).cast("int"), size).cast("string"))
     return each.select(F.col("__key").alias(key), "p.piece_no", "p.start_token", "p.end_token", (F.col("p.end_token") - F.col("p.start_token")).alias("n_tokens"), "p.start_byte", "p.end_byte", "p.cut", piece.alias("piece"))

@@ -26,7 +26,7 @@ def _without(rows: DataFrame, filled: DataFrame, ids: Sequence[str]) -> DataFram
     group's rows are spread over tasks."""
     if is_small(filled):
         return null_safe(rows, F.broadcast(filled), ids, "left_anti")
-    salted = filled.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    salted = filled.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     spread = rows.withColumn("__salt", F.pmod(F.xxhash64("__item"), F.lit(SALTS)))
     return null_safe(spread, salted, [*ids, "__salt"], "left_anti").drop("__salt")
 
@@ -45,7 +45,8 @@ def top_n(rows: DataFrame, n: int, group: Sequence[str], item: str, score: str,
     picked = rows.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(group, ids)], F.col(f"`{item}`").alias("__item"), plain.alias("__score"))
     picked = picked.where(F.col("__item").isNotNull() & F.col("__score").isNotNull() & ~F.isnan("__score"))
     finite = picked.where(F.abs("__score") < F.lit(float("inf")))
-    bounds = sorted(set(finite.approxQuantile("__score", list(quantiles), 0.01)), reverse=True)
+    cuts = finite.agg(F.percentile_approx("__score", list(quantiles), 1000)).first()[0] if quantiles else None
+    bounds = sorted(set(cuts or []), reverse=True)
     order = Window.partitionBy(*ids).orderBy(F.col("__score").desc(), F.col("__item"))
     done: list[DataFrame] = []
     carried: DataFrame | None = None
