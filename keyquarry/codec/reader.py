@@ -252,6 +252,7 @@ class SnapshotReader:
                     raise CorruptData("module values of the first format can't be read")
                 if self.wanted is not None and not self.wanted(db, key, op):
                     self._skip(op)
+                    self.skipped_unknown += op == N.HASH_ZIPMAP
                     continue
                 try:
                     yield from self._values(db, key, op, *now)

@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .schemas import U64
-
 
 def is_hll(value: Column) -> Column:
     """A cardinality sketch: at least 16 bytes, HYLL, then encoding 0 or 1."""
@@ -106,11 +104,6 @@ def estimated_bytes() -> Column:
     return size(F.col("key")) * row_count() + payload
 
 
-def unsigned(value: Column) -> Column:
-    """A signed 64-bit number read as unsigned."""
-    return F.when(value < 0, value.cast(U64) + F.lit(2**64).cast("decimal(20,0)")).otherwise(value.cast(U64)).cast(U64)
-
-
 def glob_regex(pattern: str) -> tuple[str, bool]:
     """(regular expression, negated) of a glob.
 

@@ -44,12 +44,13 @@ def fitted(text: Column, kind: str) -> Column:
         low = F.lower(text)
         value = F.when(low.isin(*TRUE_WORDS), F.lit(True)).when(low.isin(*FALSE_WORDS), F.lit(False))
     elif kind == "ts":
-        iso = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"([+-][0-9]{2}):?([0-9]{2})?$", "$1:$2")
-        zoned = F.when(text.rlike(r"[+-][0-9]{2}(:?[0-9]{2})?$") & (F.length(text) > 10), F.regexp_replace(iso, ":$", ":00")).otherwise(F.replace(text, F.lit(","), F.lit(".")))
+        iso = F.replace(text, F.lit(","), F.lit("."))
+        for found, whole in ((r"([T ][0-9]{2}:[0-9]{2})(Z|[+-]|$)", "$1:00$2"), (r"([T ].*[+-][0-9]{2})([0-9]{2})$", "$1:$2"), (r"([T ].*[+-][0-9]{2})$", "$1:00")):
+            iso = F.regexp_replace(iso, found, whole)  # the parts that the cast asks for: seconds, colon, minutes of offset
         value = (
             F.when(text.rlike(r"^[0-9]{10}$"), F.timestamp_seconds(text.try_cast("bigint")))
             .when(text.rlike(r"^[0-9]{13}$"), F.timestamp_millis(text.try_cast("bigint")))
-            .when(text.rlike(ISO_FORM), zoned.try_cast("timestamp"))
+            .when(text.rlike(ISO_FORM), iso.try_cast("timestamp"))
         )
     else:
         raise ValueError(f"unknown kind {kind!r}; known: {', '.join(KINDS)}")

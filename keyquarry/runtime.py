@@ -49,13 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir")
     if told:
-        return told.rstrip("/")
+        path = sc._jvm.org.apache.hadoop.fs.Path(told)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
     if sc.applicationId not in _local_dirs:
-        path = tempfile.mkdtemp(prefix="keyquarry-shared-")
-        sc.setCheckpointDir(f"file://{path}")
-        _local_dirs[sc.applicationId] = f"file://{path}"
+        _local_dirs[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='keyquarry-shared-')}"
     return _local_dirs[sc.applicationId]
 
 
