@@ -69,14 +69,19 @@ class Entry:
 class Source:
     """A buffered input that keeps the CRC of what has been taken."""
 
-    def __init__(self, raw, verify: bool = True):
-        self.raw, self.verify = raw, verify
+    def __init__(self, raw, verify: bool = True, base: int = 0):
+        self.raw, self.verify, self.base = raw, verify, base
         self.buf, self.at, self.crc = b"", 0, 0
 
+    @property
+    def position(self) -> int:
+        return self.base + self.at
+
     def _more(self, n: int) -> None:
         if self.verify and self.at:
             self.crc = crc64(memoryview(self.buf)[: self.at], self.crc)
         parts, have = [self.buf[self.at :]], len(self.buf) - self.at
+        self.base += self.at
         self.at = 0
         while have < n:
             part = self.raw.read(max(BLOCK, n - have))
@@ -209,12 +214,40 @@ class SnapshotReader:
         self.verify, self.chunk, self.wanted = verify_crc, max_key_elements, wanted
         self.crc_checked = False
         self.skipped_unknown = 0
+        self.db, self.end = 0, None
         self.header = self._read_header()
         self._ahead: int | None = None
         while (b := self.source.byte()) == N.OP_AUX:
             self._read_aux()
         self._ahead = b
 
+    @classmethod
+    def of_part(cls, raw, start: int, end: int, db: int, max_key_elements: int | None = N.DEFAULT_CHUNK, wanted: Callable[[int, bytes, int], bool] | None = None) -> SnapshotReader:
+        """A reader of the bytes from start to end, which parts() gave; raw stands at start."""
+        self = cls.__new__(cls)
+        self.source = Source(raw, False, start)
+        self.verify, self.chunk, self.wanted = False, max_key_elements, wanted
+        self.crc_checked, self.skipped_unknown = False, 0
+        self.db, self.end = db, end
+        self.header, self._ahead = Header("", 0), None
+        return self
+
+    def parts(self, size: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, db) of parts of about size bytes, cut between entries; no value is decoded, the CRC is compared.
+
+        Between entries nothing but the db is carried over, so the parts can be read apart from each other. The last
+        one reaches to the end mark.
+        """
+        self.wanted = lambda *_: False
+        self._cuts: list[tuple[int, int]] | None = [(self.source.position - 1, 0)]
+        self._cut_size = size
+        for _ in self:
+            pass
+        cuts = self._cuts
+        for (start, db), (end, _) in zip(cuts, cuts[1:]):
+            if end > start:
+                yield start, end, db
+
     def _read_header(self) -> Header:
         head = self.source.take(9)
         # The two magics and the versions they come with.
@@ -238,8 +271,11 @@ class SnapshotReader:
 
     def __iter__(self) -> Iterator[Entry]:
         s = self.source
-        db, expiry, idle, freq = 0, None, None, None
+        db, expiry, idle, freq = self.db, None, None, None
+        cuts = getattr(self, "_cuts", None)
         while True:
+            if self.end is not None and s.position >= self.end:
+                return
             op = s.byte() if self._ahead is None else self._ahead
             self._ahead = None
             if op == N.OP_EXPIRETIME_MS:
@@ -253,6 +289,8 @@ class SnapshotReader:
                 if self.wanted is not None and not self.wanted(db, key, op):
                     self._skip(op)
                     self.skipped_unknown += op == N.HASH_ZIPMAP
+                    if cuts is not None and s.position - cuts[-1][0] >= self._cut_size:
+                        cuts.append((s.position, db))
                     continue
                 try:
                     yield from self._values(db, key, op, *now)
@@ -271,6 +309,8 @@ class SnapshotReader:
             elif op == N.OP_EXPIRETIME:
                 expiry = int.from_bytes(s.take(4), "little", signed=True) * 1000
             elif op == N.OP_EOF:
+                if cuts is not None:
+                    cuts.append((s.position - 1, db))
                 self._finish()
                 return
             elif op == N.OP_AUX:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.schemas import HEURISTICS, TYPES, U64, parse_types
-from ..runtime import ship
+from ..functions.schemas import ENTRIES, HEURISTICS, TYPES, U64, parse_types
+from ..runtime import materialize, ship
+from ..sources import snapshotfiles
 from ..sources.snapshotfiles import SnapshotInfoSource, SnapshotSource
 
 
@@ -29,8 +34,32 @@ def read_info(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("kvsnapshot_info").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}).load(path)
 
 
-def with_order(names: list[str], keep: bool) -> list[str]:
-    return ["file", "seq", *names] if keep else names
+def find_parts(spark: SparkSession, path: str, part_bytes: int = 256 << 20, verify_crc: bool = True) -> DataFrame:
+    """(file, part, start, end, db): where large snapshots can be cut. One pass over each file, a task per file, which
+    decodes nothing and compares the checksum; the result is written and serves any number of reads."""
+    ship(spark)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, *p) for f in batch["file"] for p in snapshotfiles.find_parts(f, part_bytes, verify_crc)]
+            yield pd.DataFrame(rows, columns=["file", "part", "start", "end", "db"])
+
+    files = snapshotfiles.list_snapshots(path)
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files))
+    return materialize(listed.mapInPandas(find, "file string, part bigint, start bigint, end bigint, db bigint"), "parts")
+
+
+def read_parts(parts: DataFrame, **options) -> DataFrame:
+    """Entries of snapshots read part by part, about one part per task, with the options of read_entries. seq still
+    orders a file's entries but isn't consecutive across parts. The checksum was compared when the parts were found."""
+    o = snapshotfiles.parse_options({k: str(v) for k, v in options.items() if v is not None})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from snapshotfiles.read_part(r["file"], r["part"], r["start"], r["end"], r["db"], o)
+
+    return parts.repartition(max(1, parts.count())).mapInArrow(read, ENTRIES)
 
 
 def _common(kind: str, count: Column, encoding: str = "encoding") -> list[Column]:

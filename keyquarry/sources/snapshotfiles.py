@@ -61,7 +61,7 @@ def list_snapshots(path: str) -> list[str]:
     return out
 
 
-def _options(options: dict) -> dict:
+def parse_options(options: dict) -> dict:
     low = {k.lower(): v for k, v in options.items()}
     chunking = low.get("chunking", "true").lower() != "false"
     db, types, pattern = low.get("db"), parse_types(low.get("types")), low.get("keypattern")
@@ -209,16 +209,50 @@ def read_batches(path: str, o: dict) -> Iterator[pa.RecordBatch]:
     try:
         with open_snapshot(path) as raw:
             reader = SnapshotReader(raw, o["chunk"], o["verify"], wanted_by(o))
-            batch = _Batch(path)
-            seq = -1
-            for seq, entry in enumerate(reader):
-                batch.add(seq, entry)
-                if len(batch.scalars) >= o["rows"] or batch.bytes >= o["bytes"]:
-                    yield batch.record_batch()
-            if batch.scalars:
-                yield batch.record_batch()
+            yield from _batched(path, reader, o, 0)
     except SnapshotError as e:
-        raise type(e)(f"{e.args[0].split(' ', 1)[0]} {path}: {e.args[0].split(' ', 1)[1]}") from None
+        raise _of_file(path, e) from None
+    except OSError as e:
+        raise Truncated(f"{path}: {e}") from None
+
+
+#: Entries that one part of a file may have; seq is part * PART_ENTRIES + place in the part.
+PART_ENTRIES = 1 << 40
+
+
+def _of_file(path: str, e: SnapshotError) -> SnapshotError:
+    tag, _, text = e.args[0].partition(" ")
+    return type(e)(f"{tag} {path}: {text}")
+
+
+def _batched(path: str, reader: SnapshotReader, o: dict, first: int) -> Iterator[pa.RecordBatch]:
+    batch = _Batch(path)
+    for seq, entry in enumerate(reader, first):
+        batch.add(seq, entry)
+        if len(batch.scalars) >= o["rows"] or batch.bytes >= o["bytes"]:
+            yield batch.record_batch()
+    if batch.scalars:
+        yield batch.record_batch()
+
+
+def find_parts(path: str, size: int, verify: bool = True) -> list[tuple[int, int, int, int]]:
+    """(part, start, end, db) of one file."""
+    try:
+        with open_snapshot(path) as raw:
+            return [(i, *p) for i, p in enumerate(SnapshotReader(raw, verify_crc=verify).parts(size))]
+    except SnapshotError as e:
+        raise _of_file(path, e) from None
+
+
+def read_part(path: str, part: int, start: int, end: int, db: int, o: dict) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the entries of one part."""
+    try:
+        filesystem, name = open_fs(path)
+        with filesystem.open_input_file(name) as raw:
+            raw.seek(start)
+            yield from _batched(path, SnapshotReader.of_part(raw, start, end, db, o["chunk"], wanted_by(o)), o, part * PART_ENTRIES)
+    except SnapshotError as e:
+        raise _of_file(path, e) from None
     except OSError as e:
         raise Truncated(f"{path}: {e}") from None
 
@@ -228,7 +262,7 @@ class _Reader(DataSourceReader):
         low = {k.lower(): v for k, v in options.items()}
         if "path" not in low:
             raise ValueError("a path is needed")
-        self.path, self.o = low["path"], _options(options)
+        self.path, self.o = low["path"], parse_options(options)
 
     def partitions(self):
         return [FilePartition(p) for p in list_snapshots(self.path)]
@@ -257,7 +291,7 @@ class InfoReader(_Reader):
                 u = lambda n: None if n is None else Decimal(n)
                 yield (partition.path, h.magic, h.version, dict(sorted(h.aux.items())), h.server_version, u(h.ctime), u(h.used_mem), h.repl_id, h.repl_offset, reader.skipped_unknown, reader.crc_checked)
         except SnapshotError as e:
-            raise type(e)(f"{e.args[0].split(' ', 1)[0]} {partition.path}: {e.args[0].split(' ', 1)[1]}") from None
+            raise _of_file(partition.path, e) from None
 
 
 class SnapshotSource(DataSource):

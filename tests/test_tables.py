@@ -16,7 +16,7 @@ from keyquarry.codec import names as N
 from keyquarry.functions import columns as C
 from keyquarry.functions import schemas
 from keyquarry.operators import summary
-from keyquarry.operators.tables import read_entries, read_info, select_entries, table, tables
+from keyquarry.operators.tables import find_parts, read_entries, read_info, read_parts, select_entries, table, tables
 from keyquarry.sources import sinks
 from testkit import encoder as E
 
@@ -307,3 +307,25 @@ def test_command_line(spark, files, tmp_path, capsys, monkeypatch):
     assert cli.main(["schema", "--type", "geo", "--output", "json"]) == 0
     assert json.loads(capsys.readouterr().out)["geo"][0] == {"name": "db", "type": "UInt32", "nullable": False}
     assert cli.main(["schema"]) == 0 and "hyperloglog:" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 20])
+def test_parts_of_a_file(spark, files, size):
+    whole = read_entries(spark, f"{files['mixed']},{files['big']}", maxKeyElements=50)
+    parts = find_parts(spark, f"{files['mixed']},{files['big']}", size)
+    apart = read_parts(parts, maxKeyElements=50)
+    spans = {}
+    for r in parts.orderBy("file", "part").collect():
+        spans.setdefault(r["file"], []).append((r["start"], r["end"]))
+    assert all(a[1] == b[0] for v in spans.values() for a, b in zip(v, v[1:])) and sum(map(len, spans.values())) >= {1: 20, 300: 4}.get(size, 2)
+    plain = [c for c in whole.columns if c != "seq"]
+    listed = lambda df: [repr(r) for r in df.orderBy("file", "seq").select(plain).collect()]
+    assert listed(apart) == listed(whole)
+    assert read_parts(parts, db=2).count() == read_entries(spark, files["mixed"], db=2).count()
+
+
+def test_parts_of_damaged_and_empty_files(spark, files):
+    assert find_parts(spark, files["empty"], 10).collect() == []
+    with pytest.raises(Exception, match="SNAPSHOT_CORRUPT"):
+        find_parts(spark, f"{files['folder']}/broken/crc.rdb", 10)
+    assert find_parts(spark, f"{files['folder']}/broken/crc.rdb", 10, verify_crc=False).count() > 1
