@@ -12,6 +12,7 @@ import base64
 import os
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Texts' parts of up to so many characters are remembered, so many at most; then the memory starts anew.
 PART_CHARS, PARTS = 48, 400_000
+#: Characters of texts that are looked at together, so that what is new in them goes to the model in one call.
+GROUP_CHARS = 1 << 20
 
 
 def tokenizer_path(name: str = VOCABULARY, folder: str | None = None) -> str:
@@ -93,31 +96,57 @@ class ByteBpe:
         self._pretokens = regex.compile(PATTERN)
         # A blank after a non-blank always begins a pre-token, so parts of blanks and what follows are encoded apart.
         self._parts = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-        self._known: dict[str, bytes] = {}
-
-    def _encode_part(self, part: str) -> bytes:
-        pre = self._pretokens.findall(part)
-        mapped = [p.encode().decode("latin-1").translate(self._chars) for p in pre]
-        ids = [i for one in self.model.encode(mapped, num_threads=1) for i in one] if mapped else []
-        out = np.array(ids, dtype="<i4").tobytes()
-        if len(part) <= PART_CHARS:
-            if len(self._known) >= PARTS:
-                self._known.clear()
-            self._known[part] = out
-        return out
+        self._known: dict[str, bytes] = {}  # ids of parts, as bytes
+        self._pieces: dict[str, bytes] = {}  # ids of pre-tokens
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode parts that aren't known; the model sees each new pre-token once."""
+        if len(self._known) + len(parts) > PARTS:
+            self._known.clear()
+            self._pieces.clear()
+        cut = {p: self._pretokens.findall(p) for p in parts}
+        new = [p for p in {p for pre in cut.values() for p in pre} if p not in self._pieces]
+        if new:
+            mapped = [p.encode().decode("latin-1").translate(self._chars) for p in new]
+            for p, ids in zip(new, self.model.encode(mapped, num_threads=1)):
+                self._pieces[p] = struct.pack(f"<{len(ids)}i", *ids)
+        pieces = self._pieces
+        for p, pre in cut.items():
+            self._known[p] = b"".join([pieces[x] for x in pre])
+
+    def _parted(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+        """For each text the ids of its parts."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < GROUP_CHARS:
+                group.append(self._parts.findall(texts[at] or ""))
+                size += len(texts[at] or "")
+                at += 1
+            known = self._known
+            missing = {p for parts in group for p in parts if p not in known}
+            if missing:
+                if len(known) + len(missing) > PARTS:  # the memory starts anew: all parts of the group are needed
+                    missing = {p for parts in group for p in parts}
+                self._learn(missing)
+            for parts in group:
+                yield [known[p] for p in parts]
+            for p in missing:
+                if len(p) > PART_CHARS:
+                    del known[p]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Token ids of whole texts; none for an empty or null text."""
+        return [np.frombuffer(b"".join(ids), dtype="<i4") for ids in self._parted(texts)]
+
+    def count_all(self, texts: list[str | None]) -> list[int]:
+        return [sum(map(len, ids)) >> 2 for ids in self._parted(texts)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Token ids of the whole text; none for an empty or null text."""
-        if not text:
-            return np.zeros(0, dtype="<i4")
-        known = self._known
-        return np.frombuffer(b"".join([known.get(p) or self._encode_part(p) for p in self._parts.findall(text)]), dtype="<i4")
+        return self.encode_all([text])[0]
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        known = self._known
-        return sum([len(known.get(p) or self._encode_part(p)) for p in self._parts.findall(text)]) >> 2
+        return self.count_all([text])[0]
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(self.tokens[i] for i in ids)
@@ -143,7 +172,7 @@ def token_ids(text: Column, path: str | None = None) -> Column:
     @F.arrow_udf("array<bigint>")
     def ids(texts: pa.Array) -> pa.Array:
         bpe = load(file)
-        each = [bpe.encode(t) for t in texts.to_pylist()]
+        each = bpe.encode_all(texts.to_pylist())
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
         values = np.concatenate([np.zeros(0, dtype="<i4"), *each]).astype(np.int64)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
@@ -158,7 +187,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         bpe = load(file)
-        return pa.array([bpe.count(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array(bpe.count_all(texts.to_pylist()), pa.int64())
 
     return count(text)
 

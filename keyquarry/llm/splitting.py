@@ -73,8 +73,7 @@ def cut_points(raw: bytes, offsets: np.ndarray, limit: int, overlap: int, fits=N
         start = end - overlap
 
 
-def pieces_of(bpe: ByteBpe, text: str | None, limit: int, overlap: int) -> list[dict] | None:
-    ids = bpe.encode(text)
+def pieces_of(bpe: ByteBpe, text: str | None, ids: np.ndarray, limit: int, overlap: int) -> list[dict] | None:
     if len(ids) <= limit:
         return None
     raw = text.encode()
@@ -101,8 +100,8 @@ def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
     @F.arrow_udf("array<struct<piece_no:bigint,start_token:bigint,end_token:bigint,start_byte:bigint,end_byte:bigint,cut:string>>")
     def cut(texts: pa.Array) -> pa.Array:
-        bpe = load(file)
-        return pa.array([pieces_of(bpe, t, limit, overlap) for t in texts.to_pylist()], pa.list_(PIECE))
+        bpe, whole = load(file), texts.to_pylist()
+        return pa.array([pieces_of(bpe, t, ids, limit, overlap) for t, ids in zip(whole, bpe.encode_all(whole))], pa.list_(PIECE))
 
     picked = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
     each = picked.select("__key", "__text", F.explode(cut(F.col("__text"))).alias("p"))

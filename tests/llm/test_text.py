@@ -46,8 +46,10 @@ def test_any_text(own, other, text):
 
 def test_memory_starts_anew(own, other, monkeypatch):
     monkeypatch.setattr(bpe, "PARTS", 3)
-    text = "one two three four five one two"
-    assert own.encode(text).tolist() == other.encode_ordinary(text) and len(own._known) <= 3
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 10)
+    texts = ["one two three", None, "four five one two", "", "x" * 60 + " one", "six", "seven eight nine ten eleven"] * 3
+    assert [x.tolist() for x in own.encode_all(texts)] == [other.encode_ordinary(t or "") for t in texts]
+    assert own.count_all(texts) == [len(other.encode_ordinary(t or "")) for t in texts] and all(len(p) <= bpe.PART_CHARS for p in own._known)
 
 
 def test_ids_of_whole_table(spark, other):
