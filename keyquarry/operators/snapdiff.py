@@ -15,24 +15,26 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, null_safe, small_side
 from .snapshots import usable_snapshots
 
+#: Ordinals of one bitmap word.
+WORD = 64
 #: A payload of up to so many bytes is compared as it is, a longer one by length and SHA-256.
 PLAIN_BYTES = 32
 
 
 def key_ordinals(keys: DataFrame, names: Sequence[str], known: DataFrame | None = None) -> DataFrame:
-    """(names, ordinal): a dictionary of the different rows of keys, written to the shared folder.
+    """keys with their ordinals: a dictionary, written to the shared folder.
 
-    With `known`, a dictionary from before, its ordinals stay and only new keys get ordinals, above the largest known.
-    Ordinals are unique and consecutive within a task's keys, so that bitmap words are full.
+    keys has one row per key; further columns stay beside it. With `known` (names, ordinal), a dictionary from before,
+    its ordinals stay and only new keys get ordinals, above the largest known. New ordinals are consecutive within a
+    task's keys, so that bitmap words are full. They are written, as a repeated task would number anew.
     """
-    fresh = keys.select(*[f"`{c}`" for c in names]).distinct()
-    base = 0
-    if known is not None:
-        fresh = null_safe(fresh, known, names, "left_anti")
-        top = known.agg(F.max("ordinal")).first()[0]
-        base = 0 if top is None else (top // 64 + 1) * 64
-    numbered = materialize(fresh.select(*[f"`{c}`" for c in names], (F.monotonically_increasing_id() + F.lit(base)).alias("ordinal")), "ordinals")
-    return numbered if known is None else known.select(*[f"`{c}`" for c in names], "ordinal").unionByName(numbered)
+    fresh = F.monotonically_increasing_id()
+    if known is None:
+        return materialize(keys.withColumn("ordinal", fresh), "ordinals")
+    top = known.agg(F.max("ordinal")).first()[0]
+    base = 0 if top is None else (top // WORD + 1) * WORD
+    old = null_safe(keys, known.select(*[f"`{c}`" for c in names], "ordinal"), names, "left")
+    return materialize(old.withColumn("ordinal", F.coalesce("ordinal", fresh + F.lit(base))), "ordinals")
 
 
 def fingerprint(value: Column) -> Column:
@@ -42,49 +44,51 @@ def fingerprint(value: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(size.alias("n"), F.when(size <= PLAIN_BYTES, value).otherwise(F.unhex(F.sha2(value, 256))).alias("b")))
 
 
-def containers(rows: DataFrame) -> DataFrame:
-    """(node, seq, word, bits, vector) from (node, seq, ordinal, print, expiry): the bitmap word and its payloads.
+def containers(dictionary: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(node, word, seq, bits, vector): per snapshot the non-empty words of its bitmap and their ordinals' payloads.
 
     A word has 64 ordinals, so a vector is as short as that, but for keys that one snapshot holds with several payloads.
+    The dictionary's rows are shuffled once, by node and word; that partitioning serves what follows, too.
     """
-    at = rows.select("__node", "__seq", F.expr("shiftright(__ordinal, 6)").alias("__word"), F.expr("cast(__ordinal & 63 as int)").alias("__pos"), "__print", "__expiry")
-    vector = F.collect_set(F.struct(F.col("__pos").alias("pos"), F.col("__print").alias("p"), F.col("__expiry").alias("e")))
-    return at.groupBy("__node", "__word", "__seq").agg(F.bit_or(F.expr("shiftleft(1L, __pos)")).alias("bits"), vector.alias("vector"))
+    placed = dictionary.withColumn("__word", F.expr("shiftright(ordinal, 6)")).repartition("__node", "__word")
+    at = placed.select("__node", "__word", F.expr(f"cast(ordinal & {WORD - 1} as int)").alias("pos"), F.struct(*names).alias("k"), F.explode("__versions").alias("v"))
+    vector = F.collect_set(F.struct("pos", F.col("v.p").alias("p"), F.col("v.e").alias("e"), "k"))
+    return at.groupBy("__node", "__word", F.col("v.seq").alias("__seq")).agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("bits"), vector.alias("vector"))
 
 
-def consecutive_changes(rows: DataFrame, files: DataFrame, key: Sequence[str] = ("db", "key"), value: str = "value", expiry: str = "expiry_ms") -> DataFrame:
+def consecutive_changes(rows: DataFrame, files: DataFrame, key: Sequence[str] = ("db", "key"), value: str = "value", expiry: str = "expiry_ms", known: DataFrame | None = None) -> DataFrame:
     """(node_id, snap_id, previous_snap_id, key columns, change_kind): what differs from the node's snapshot before.
 
     change_kind is added, removed, or changed (bytes of value or expiry differ; null equals null). snap_id is the later
     snapshot; a node's first gives no rows. Snapshots that don't count are passed over; one without any rows removes all
     keys of the one before. Repeated rows change nothing; a key that a snapshot holds with several payloads is changed
     if the set of its payloads differs. Null key columns are values like any other. Other columns are not read.
+    known: a dictionary (__node, __k0, __k1 and so on, ordinal) of an earlier run.
     """
     index = usable_snapshots(files).select(F.col("node_id").alias("__node"), F.col("snap_id").alias("__snap"), F.col("ord").alias("__seq"))
     names = [f"__k{i}" for i in range(len(key))]
     picked = rows.select(F.col("snap_id").alias("__snap"), *[F.col(f"`{c}`").alias(n) for c, n in zip(key, names)], fingerprint(F.col(f"`{value}`").cast("binary")).alias("__print"), F.col(f"`{expiry}`").alias("__expiry"))
-    placed = picked.join(small_side(index), "__snap").drop("__snap")
-    words = ["__node", *names]
-    # Repeated rows go before the shuffle; the key's ordinal then replaces the key.
-    facts = placed.groupBy(*words, "__seq", "__print", "__expiry").agg(F.lit(1).alias("__one")).drop("__one")
-    dictionary = key_ordinals(rows.select(F.col("snap_id").alias("__snap"), *[F.col(f"`{c}`").alias(n) for c, n in zip(key, names)]).join(small_side(index), "__snap"), words)
-    coded = null_safe(facts, dictionary.withColumnRenamed("ordinal", "__ordinal"), words, "inner")
-    held = containers(coded.select("__node", "__seq", "__ordinal", "__print", "__expiry"))
+    placed = picked.join(small_side(index), "__snap")
+    version = F.struct(F.col("__seq").alias("seq"), F.col("__print").alias("p"), F.col("__expiry").alias("e"))
+    # One row per key with its versions; repeated rows are gone before the shuffle.
+    keys = placed.groupBy("__node", *names).agg(F.collect_set(version).alias("__versions"))
+    held = containers(key_ordinals(keys, ["__node", *names], known), names)
     # Each container meets the one before it: once as the later of two snapshots, once as the earlier.
     roles = held.select("__node", "__word", F.explode(F.array(F.struct(F.col("__seq").alias("seq"), F.lit(True).alias("now")), F.struct((F.col("__seq") + 1).alias("seq"), F.lit(False).alias("now")))).alias("r"), "bits", "vector")
     side = lambda now, c: F.first(F.when(F.col("r.now") == now, F.col(c)), ignorenulls=True)
     met = roles.groupBy("__node", "__word", F.col("r.seq").alias("__seq")).agg(side(True, "bits").alias("cb"), side(False, "bits").alias("pb"), side(True, "vector").alias("cv"), side(False, "vector").alias("pv"))
-    met = met.where(F.col("__seq") > 0).select("__node", "__word", "__seq", F.coalesce("cb", F.lit(0)).alias("cb"), F.coalesce("pb", F.lit(0)).alias("pb"), "cv", "pv")
+    none = F.lit(0).cast("bigint")
+    met = met.where(F.col("__seq") > 0).select("__node", "__seq", F.coalesce("cb", none).alias("cb"), F.coalesce("pb", none).alias("pb"), F.coalesce("cv", F.slice("pv", 1, 0)).alias("cv"), F.coalesce("pv", F.slice("cv", 1, 0)).alias("pv"))
     differing = F.concat(F.array_except("cv", "pv"), F.array_except("pv", "cv"))
-    moved = F.when((F.col("cb").bitwiseAND(F.col("pb"))) != 0, F.aggregate(differing, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["pos"])))).otherwise(F.lit(0))
-    met = met.select("__node", "__word", "__seq", F.expr("cb & ~pb").alias("added"), F.expr("pb & ~cb").alias("removed"), moved.bitwiseAND(F.col("cb")).bitwiseAND(F.col("pb")).alias("changed"))
-    bit = lambda kind: F.expr(f"transform(filter(sequence(0, 63), i -> (shiftright({kind}, i) & 1L) = 1L), i -> struct('{kind}' as kind, i as pos))")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x["pos"])
+    moved = F.aggregate(differing, none, lambda acc, x: acc.bitwiseOR(bit(x)))
+    met = met.select("__node", "__seq", "cv", "pv", F.expr("cb & ~pb").alias("added"), F.expr("pb & ~cb").alias("removed"), F.expr("cb & pb").alias("common"), moved.alias("moved"))
+    met = met.select("__node", "__seq", "cv", "pv", "added", "removed", F.col("moved").bitwiseAND(F.col("common")).alias("changed"))
+    of = lambda bits, vector: F.transform(F.filter(vector, lambda x: F.col(bits).bitwiseAND(bit(x)) != 0), lambda x: F.struct(x["k"].alias("k"), F.lit(bits).alias("kind")))
     some = met.where((F.col("added") != 0) | (F.col("removed") != 0) | (F.col("changed") != 0))
-    found = some.select("__node", "__seq", "__word", F.explode(F.concat(bit("added"), bit("removed"), bit("changed"))).alias("x"))
-    found = found.select("__node", "__seq", F.expr("shiftleft(__word, 6) + x.pos").alias("ordinal"), F.col("x.kind").alias("change_kind"))
+    found = some.select("__node", "__seq", F.explode(F.array_distinct(F.concat(of("added", "cv"), of("removed", "pv"), of("changed", "cv")))).alias("x"))
     here = index.select("__node", "__seq", F.col("__snap").alias("snap_id"))
     before = index.select("__node", (F.col("__seq") + 1).alias("__seq"), F.col("__snap").alias("previous_snap_id"))
     # Only snapshots that exist: the one after a node's last has no row.
     dated = found.join(small_side(here), ["__node", "__seq"]).join(small_side(before), ["__node", "__seq"])
-    named = dated.join(dictionary.drop("__node"), "ordinal")
-    return named.select(F.col("__node").alias("node_id"), "snap_id", "previous_snap_id", *[F.col(n).alias(c) for c, n in zip(key, names)], "change_kind")
+    return dated.select(F.col("__node").alias("node_id"), "snap_id", "previous_snap_id", *[F.col(f"x.k.{n}").alias(c) for c, n in zip(key, names)], F.col("x.kind").alias("change_kind"))
