@@ -24,7 +24,26 @@ judged AS (SELECT *, CASE
     AND (length(t) = 10 OR try_cast(regexp_extract(t, '[T ]([0-9:]+)', 1) || CASE WHEN regexp_matches(t, ':[0-9]{{2}}:') THEN '' ELSE ':00' END AS TIME) IS NOT NULL))
   ELSE false END AS fit FROM named)"""
 
+#: The test tables' attributes by kind.
+ATTRS = {
+    "string": ("display_name", "home_city", "plan", "referrer", "device_model", "locale"), "int": ("age", "login_count", "items_in_cart", "retry_limit", "points", "quota_bytes"),
+    "double": ("balance", "score_avg", "lat_offset", "discount_rate"), "bool": ("is_active", "opt_in", "email_verified", "beta_user"), "ts": ("created_at", "last_seen", "expires_on", "password_changed_at"),
+}
+TYPED = {
+    "string": "t", "int": "CAST(regexp_replace(t, '\\..*$|,', '', 'g') AS BIGINT)", "double": "CAST(t AS DOUBLE)", "bool": "CAST(lower(t) IN ('true', 't', 'yes', 'y', 'on', '1') AS BIGINT)",
+    "ts": """CASE WHEN regexp_full_match(t, '[0-9]{10}') THEN CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '[0-9]{13}') THEN CAST(t AS BIGINT) * 1000
+      ELSE epoch_us(CAST(replace(regexp_extract(t, '^([0-9-]{10}([T ][0-9:.]+)?)', 1), 'T', ' ') AS TIMESTAMP))
+        - CASE WHEN regexp_matches(t, '[T ].*[+-][0-9]{2}:[0-9]{2}$') THEN (CASE WHEN t[-6] = '-' THEN -1 ELSE 1 END) * (CAST(t[-5:-4] AS BIGINT) * 60 + CAST(t[-2:] AS BIGINT)) * 60000000 ELSE 0 END END""",
+}
+CELL = JUDGED + """,
+best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY snap_id, db, key, attr ORDER BY fit DESC, field, value) = 1)"""
+
 SQL = {
+    "p1_wide": CELL
+    + " SELECT p.snap_id AS snap_id, p.db AS db, p.key AS key, "
+    + ", ".join(f"max(CASE WHEN b.attr = '{a}' AND b.fit THEN {v} END) AS {a}" for k, v in TYPED.items() for a in ATTRS[k])
+    + " FROM (SELECT DISTINCT snap_id, db, key FROM pairs) p LEFT JOIN best b ON p.snap_id = b.snap_id AND p.db = b.db AND p.key = b.key GROUP BY 1, 2, 3",
+    "p1_failures": CELL + " SELECT snap_id, db, key, attr, t AS text FROM best WHERE NOT fit",
     "p1_found": JUDGED + " SELECT DISTINCT snap_id, db, key, attr FROM judged WHERE fit",
     "p2_found": """
 WITH e AS (SELECT snap_id, db, decode(key) AS key, CAST(split_part(stream_id, '-', 1) AS BIGINT) AS id_ms,
@@ -66,13 +85,15 @@ WITH v AS (SELECT snap_id, db, key, octet_length(element) AS n, row_number() OVE
            FROM kv_list WHERE element IS NOT NULL),
 q AS (SELECT unnest([0.0, 0.5, 0.9, 1.0]::DOUBLE[]) AS fraction)
 SELECT snap_id, db, decode(key) AS key, fraction, CAST(n AS BIGINT) AS n_bytes FROM v JOIN q ON r = greatest(1, ceil(fraction * c))""",
-    "p7_found": f"""
+    "p7_changes": f"""
 WITH {SNAPSHOTS},
 held AS (SELECT DISTINCT node_id, ord, db, key, value, expiry_ms FROM kv_string JOIN idx USING (snap_id)),
-cur AS (SELECT h.*, i.snap_id FROM held h JOIN idx i USING (node_id, ord) WHERE ord > 1),
-prev AS (SELECT h.node_id, h.ord + 1 AS ord, h.db, h.key, h.value, h.expiry_ms, i.snap_id FROM held h JOIN idx i ON i.node_id = h.node_id AND i.ord = h.ord + 1)
-SELECT coalesce(c.snap_id, p.snap_id) AS snap_id, coalesce(c.db, p.db) AS db, decode(coalesce(c.key, p.key)) AS key,
+steps AS (SELECT b.node_id, b.ord, b.snap_id, a.snap_id AS before_id FROM idx a JOIN idx b ON a.node_id = b.node_id AND b.ord = a.ord + 1),
+cur AS (SELECT h.*, i.snap_id, i.before_id FROM held h JOIN steps i ON i.node_id = h.node_id AND i.ord = h.ord),
+prev AS (SELECT h.node_id, h.ord + 1 AS ord, h.db, h.key, h.value, h.expiry_ms, i.snap_id, i.before_id FROM held h JOIN steps i ON i.node_id = h.node_id AND i.ord = h.ord + 1)
+SELECT coalesce(c.node_id, p.node_id) AS node_id, coalesce(c.snap_id, p.snap_id) AS snap_id, coalesce(c.before_id, p.before_id) AS previous_snap_id, coalesce(c.db, p.db) AS db, decode(coalesce(c.key, p.key)) AS key,
        CASE WHEN p.key IS NULL THEN 'added' WHEN c.key IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM cur c FULL JOIN prev p ON c.node_id = p.node_id AND c.ord = p.ord AND c.db = p.db AND c.key = p.key
 WHERE p.key IS NULL OR c.key IS NULL OR c.value IS DISTINCT FROM p.value OR c.expiry_ms IS DISTINCT FROM p.expiry_ms""",
 }
+SQL["p7_found"] = f"SELECT snap_id, db, key, change_kind FROM ({SQL['p7_changes']})"

@@ -21,25 +21,30 @@ def long(name: str) -> Column:
     return F.col(name).cast("bigint").alias(name)
 
 
-def p1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The wide table over every node's last snapshot that counts, and its attributes."""
     spec = widetable.read_spec(table(spark, sf_dir, "attr_spec"))
     last = small_side(snapshots.latest_snapshots(table(spark, sf_dir, "snapshot_file")).select("snap_id"))
     pairs = table(spark, sf_dir, "kv_hash").select("snap_id", "db", "key", "field", "value").join(last, "snap_id")
-    wide = widetable.wide_table(pairs, spec)
-    failures = F.map_entries("cast_failures")
-    return wide.select(
-        long("snap_id"), long("db"), text("key"),
-        *[(F.unix_micros(a) if k == "ts" else F.col(a).cast("int").cast("bigint") if k == "bool" else F.col(a)).alias(a) for a, k in spec],
-        F.array_join(F.array_sort(F.transform(failures, lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "\n").alias("cast_failures"),
-    )
+    return widetable.wide_table(pairs, spec), spec
+
+
+def p1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All typed columns, times as microseconds and booleans as 0 and 1."""
+    wide, spec = wide_hashes(spark, sf_dir)
+    plain = {"ts": F.unix_micros, "bool": lambda a: F.col(a).cast("int").cast("bigint")}
+    return wide.select(long("snap_id"), long("db"), text("key"), *[plain.get(k, F.col)(a).alias(a) for a, k in spec])
+
+
+def p1_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that fit no column's type."""
+    wide, _ = wide_hashes(spark, sf_dir)
+    return wide.select(long("snap_id"), long("db"), text("key"), F.explode("cast_failures").alias("attr", "text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = widetable.read_spec(table(spark, sf_dir, "attr_spec"))
-    last = small_side(snapshots.latest_snapshots(table(spark, sf_dir, "snapshot_file")).select("snap_id"))
-    pairs = table(spark, sf_dir, "kv_hash").select("snap_id", "db", "key", "field", "value").join(last, "snap_id")
-    cells = widetable.filled_cells(widetable.wide_table(pairs, spec), spec)
-    return cells.select(long("snap_id"), long("db"), text("key"), "attr")
+    wide, spec = wide_hashes(spark, sf_dir)
+    return widetable.filled_cells(wide, spec).select(long("snap_id"), long("db"), text("key"), "attr")
 
 
 def compacted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +116,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_changes(spark, sf_dir).select("snap_id", "db", "key", "change_kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_compacted, p2_files, p5_found, p5_history, p6_found, p6_lists, p6_modes, p6_percentiles, p7_found, p7_changes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p1_failures, p2_found, p2_compacted, p2_files, p5_found, p5_history, p6_found, p6_lists, p6_modes, p6_percentiles, p7_found, p7_changes)}
