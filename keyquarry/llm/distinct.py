@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import is_small, materialize, null_safe
+
 #: log2 of the buckets: 4096 give a relative standard deviation of about 1 %.
 BUCKETS = 12
 #: Ranks that a 64-bit hash has beside the bucket's bits.
@@ -89,17 +91,19 @@ def estimates(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
 def rows_per_value(rows: DataFrame, groups: Sequence[str], value: str, least: float) -> DataFrame:
     """The groups that have at least `least` rows per different value.
 
-    Where the estimate's bounds leave no doubt they decide; only groups in doubt are counted exactly, by (group, value)
-    first, so that no group meets in one task. A group with null values only has no value and is found.
+    Where the estimate's bounds leave no doubt they decide; only the rows of groups in doubt are counted exactly, by
+    (group, value) first, so that no group meets in one task. A group with null values only has no value and is found.
     """
     names = [f"`{g}`" for g in groups]
-    known = estimates(sketches(rows, groups, value), groups)
+    known = materialize(estimates(sketches(rows, groups, value), groups), "estimates")
     sure = known.where(F.col("n_rows") >= least * F.col("high")).select(*names)
-    doubt = known.where((F.col("n_rows") < least * F.col("high")) & (F.col("n_rows") >= least * F.col("low"))).select(*[F.col(g).alias(f"__d{i}") for i, g in enumerate(names)])
-    condition = None
-    for i, g in enumerate(names):
-        one = F.col(g).eqNullSafe(F.col(f"__d{i}"))
-        condition = one if condition is None else condition & one
-    left = rows.select(*names, F.col(f"`{value}`").alias("__v")).groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    exact = left.join(doubt, condition, "left_semi").groupBy(*names).agg(F.sum("__n").alias("__n"), F.count("__v").alias("__d"))
+    doubt = known.where((F.col("n_rows") < least * F.col("high")) & (F.col("n_rows") >= least * F.col("low"))).select(*names)
+    each = rows.select(*names, F.col(f"`{value}`").alias("__v"))
+    few = is_small(doubt)
+    if few:
+        each = null_safe(each, F.broadcast(doubt), groups, "left_semi")
+    counted = each.groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    if not few:  # so many groups that none is large: the join comes after the counts
+        counted = null_safe(counted, doubt, groups, "left_semi")
+    exact = counted.groupBy(*names).agg(F.sum("__n").alias("__n"), F.count("__v").alias("__d"))
     return sure.unionByName(exact.where(F.col("__n") >= least * F.col("__d")).select(*names))
