@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_side
+from ..runtime import small_table
 from .snapshots import usable_snapshots
 
 #: Snapshots whose presence one 64-bit word holds; rounds within a word need no further shuffle.
@@ -41,12 +41,12 @@ def version_runs(rows: DataFrame, files: DataFrame, entity: Sequence[str] = ("db
     and word of 64 snapshots, and rounds up to 64 keep that partitioning. Only a node of more than 64 snapshots needs
     one more shuffle, of its runs.
     """
-    index = usable_snapshots(files)
+    index = small_table(usable_snapshots(files))
     count = index.agg(F.max("ord")).first()[0]
     last = -1 if count is None else count
     by_columns = [*entity, *payload]
     held = rows.where(F.col(f"`{present}`").isNotNull()).select(F.col("snap_id").alias("__snap"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(by_columns)])
-    placed = held.join(small_side(index.select(F.col("snap_id").alias("__snap"), F.col("node_id").alias("__node"), F.col("ord").alias("__ord"))), "__snap")
+    placed = held.join(index.select(F.col("snap_id").alias("__snap"), F.col("node_id").alias("__node"), F.col("ord").alias("__ord")), "__snap")
     by = ["__node", *[f"__c{i}" for i in range(len(by_columns))]]
     words = placed.groupBy(*by, F.floor(F.col("__ord") / WORD).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, __ord % {WORD})")).alias("__bits"))
     places = F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftright(__bits, i) & 1L) = 1L)")
@@ -62,6 +62,6 @@ def version_runs(rows: DataFrame, files: DataFrame, entity: Sequence[str] = ("db
         runs = coalesce_round(runs, by, size)
         size *= 2
     at = lambda n, o, s: index.select(F.col("node_id").alias(n), F.col("ord").cast("bigint").alias(o), F.col("snap_id").alias(s))
-    first = runs.join(small_side(at("__node", "start", "from_snap_id")), ["__node", "start"])
-    both = first.join(small_side(at("__node", "end", "until_snap_id")), ["__node", "end"], "left")
+    first = runs.join(at("__node", "start", "from_snap_id"), ["__node", "start"])
+    both = first.join(at("__node", "end", "until_snap_id"), ["__node", "end"], "left")
     return both.select(F.col("__node").alias("node_id"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(by_columns)], "from_snap_id", "until_snap_id")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, null_safe, small_side
+from ..runtime import materialize, null_safe, small_table
 from .snapshots import usable_snapshots
 
 #: Ordinals of one bitmap word.
@@ -65,10 +65,10 @@ def consecutive_changes(rows: DataFrame, files: DataFrame, key: Sequence[str] =
     if the set of its payloads differs. Null key columns are values like any other. Other columns are not read.
     known: a dictionary (__node, __k0, __k1 and so on, ordinal) of an earlier run.
     """
-    index = usable_snapshots(files).select(F.col("node_id").alias("__node"), F.col("snap_id").alias("__snap"), F.col("ord").alias("__seq"))
+    index = small_table(usable_snapshots(files)).select(F.col("node_id").alias("__node"), F.col("snap_id").alias("__snap"), F.col("ord").alias("__seq"))
     names = [f"__k{i}" for i in range(len(key))]
     picked = rows.select(F.col("snap_id").alias("__snap"), *[F.col(f"`{c}`").alias(n) for c, n in zip(key, names)], fingerprint(F.col(f"`{value}`").cast("binary")).alias("__print"), F.col(f"`{expiry}`").alias("__expiry"))
-    placed = picked.join(small_side(index), "__snap")
+    placed = picked.join(index, "__snap")
     version = F.struct(F.col("__seq").alias("seq"), F.col("__print").alias("p"), F.col("__expiry").alias("e"))
     # One row per key with its versions; repeated rows are gone before the shuffle.
     keys = placed.groupBy("__node", *names).agg(F.collect_set(version).alias("__versions"))
@@ -90,5 +90,5 @@ def consecutive_changes(rows: DataFrame, files: DataFrame, key: Sequence[str] =
     here = index.select("__node", "__seq", F.col("__snap").alias("snap_id"))
     before = index.select("__node", (F.col("__seq") + 1).alias("__seq"), F.col("__snap").alias("previous_snap_id"))
     # Only snapshots that exist: the one after a node's last has no row.
-    dated = found.join(small_side(here), ["__node", "__seq"]).join(small_side(before), ["__node", "__seq"])
+    dated = found.join(here, ["__node", "__seq"]).join(before, ["__node", "__seq"])
     return dated.select(F.col("__node").alias("node_id"), "snap_id", "previous_snap_id", *[F.col(f"x.k.{n}").alias(c) for c, n in zip(key, names)], F.col("x.kind").alias("change_kind"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compaction, history, skewstats, snapdiff, snapshots, widetable
-from ..runtime import ship, small_side, utf8
+from ..runtime import small_table, utf8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def long(name: str) -> Column:
 def wide_hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
     """The wide table over every node's last snapshot that counts, and its attributes."""
     spec = widetable.read_spec(table(spark, sf_dir, "attr_spec"))
-    last = small_side(snapshots.latest_snapshots(table(spark, sf_dir, "snapshot_file")).select("snap_id"))
+    last = small_table(snapshots.latest_snapshots(table(spark, sf_dir, "snapshot_file")).select("snap_id"))
     pairs = table(spark, sf_dir, "kv_hash").select("snap_id", "db", "key", "field", "value").join(last, "snap_id")
     return widetable.wide_table(pairs, spec), spec
 

@@ -9,8 +9,10 @@ import uuid
 import zipfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side with at most this many rows may be broadcast; the rows are counted first.
 BROADCAST_ROWS = 100_000
@@ -89,6 +91,18 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def small_table(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df evaluated once, for what several joins use: with at most `rows` rows a local relation with a broadcast hint,
+    else a written table without one."""
+    found = df.limit(rows + 1).toArrow()
+    return F.broadcast(local_table(df.sparkSession, found, df.schema)) if found.num_rows <= rows else materialize(df, "small")
+
+
+def local_table(spark: SparkSession, rows: pa.Table, schema: StructType | str) -> DataFrame:
+    """Rows as part of the plan, of a size that Spark knows."""
+    return spark.createDataFrame(rows, schema)
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
     """Join on equal names where null equals null; the right side's copies of the names are dropped."""
     r = right.select([F.col(f"`{c}`").alias(f"__r_{c}") if c in names else F.col(f"`{c}`") for c in right.columns])
