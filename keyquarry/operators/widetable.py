@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_ROWS, utf8
+from ..runtime import local_table, utf8
 
 #: What outer blanks are, the placeholders that fit no column, and the spellings of booleans.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -63,13 +64,15 @@ def read_spec(spec: DataFrame, most: int = 5_000) -> list[tuple[str, str]]:
     Rows without attr are passed over; of an attr given more than once the kind that comes first by name holds; an
     unknown or missing kind is an error.
     """
-    rows = spec.select("attr", "kind").where(F.col("attr").isNotNull()).groupBy("attr").agg(F.min("kind").alias("kind")).orderBy("attr").take(most + 1)
+    rows = spec.select("attr", "kind").where(F.col("attr").isNotNull()).distinct().take(most + 1)
     if len(rows) > most:
         raise ValueError(f"more than {most} attributes can't be columns of one table")
+    found: dict[str, str] = {}
     for r in rows:
         if r["kind"] not in KINDS:
             raise ValueError(f"attr {r['attr']!r} has unknown kind {r['kind']!r}")
-    return [(r["attr"], r["kind"]) for r in rows]
+        found[r["attr"]] = min(r["kind"], found.get(r["attr"], r["kind"]))
+    return sorted(found.items())
 
 
 def column_names(attrs: Sequence[str], entity: Sequence[str]) -> dict[str, str]:
@@ -103,23 +106,21 @@ def wide_table(pairs: DataFrame, spec: Sequence[tuple[str, str]], entity: Sequen
     keys = [F.col(f"`{c}`").alias(f"__e{i}") for i, c in enumerate(entity)]
     ids = [f"__e{i}" for i in range(len(entity))]
     rows = pairs.select(*keys, F.col(f"`{field}`").cast("binary").alias("__f"), F.col(f"`{value}`").cast("binary").alias("__v"))
-    if len(spec) > BROADCAST_ROWS:
-        raise ValueError("too many attributes")
-    known = pairs.sparkSession.createDataFrame([(a, k) for a, k in spec], "__attr string, __kind string").withColumn("__s", spelled(F.col("__attr")))
+    listed = pa.table({"__attr": pa.array([a for a, _ in spec], pa.string()), "__kind": pa.array([k for _, k in spec], pa.string())})
+    known = local_table(pairs.sparkSession, listed, "__attr string, __kind string").withColumn("__s", spelled(F.col("__attr")))
     named = rows.withColumn("__s", spelled(utf8(F.col("__f")))).join(F.broadcast(known), "__s", "left")
     text = F.btrim(utf8(F.col("__v")), F.lit(BLANKS))
     fit = F.lit(False)
     for kind in sorted({k for _, k in spec}):
         fit = F.when(F.col("__kind") == kind, fitted(F.col("__t"), kind).isNotNull()).otherwise(fit)
     judged = named.select(*ids, "__attr", "__kind", "__f", F.when(F.col("__attr").isNotNull(), F.col("__v")).alias("__v"), F.when(F.col("__attr").isNotNull(), text).alias("__t"))
-    judged = judged.select(*ids, "__attr", F.when(F.col("__t").isNotNull(), F.struct((~fit).alias("unfit"), F.col("__f").alias("f"), F.col("__v").alias("v"), F.col("__t").alias("t"))).alias("__c"))
-    resolved = judged.groupBy(*ids, "__attr").agg(F.min("__c").alias("__c"))
-    pair = F.when(F.col("__attr").isNotNull() & F.col("__c").isNotNull(), F.struct("__attr", F.struct(F.col("__c.unfit").alias("unfit"), F.col("__c.t").alias("t"))))
+    judged = judged.select(*ids, "__attr", "__kind", F.when(F.col("__t").isNotNull(), F.struct((~fit).alias("unfit"), F.col("__f").alias("f"), F.col("__v").alias("v"), F.col("__t").alias("t"))).alias("__c"))
+    resolved = judged.groupBy(*ids, "__attr", "__kind").agg(F.min("__c").alias("__c"))
+    # One typed value per pair; the columns then only pick theirs from the map.
+    cell = [F.when((F.col("__kind") == kind) & ~F.col("__c.unfit"), fitted(F.col("__c.t"), kind)).alias(kind) for kind in sorted({k for _, k in spec})]
+    pair = F.when(F.col("__attr").isNotNull() & F.col("__c").isNotNull(), F.struct("__attr", F.struct(F.col("__c.unfit").alias("unfit"), F.col("__c.t").alias("t"), *cell)))
     mapped = resolved.groupBy(*ids).agg(F.map_from_entries(F.collect_list(pair)).alias("__m"))
-    typed = []
-    for a, k in spec:
-        cell = F.element_at("__m", F.lit(a))
-        typed.append(F.when(~cell["unfit"], fitted(cell["t"], k)).alias(names[a]))
+    typed = [F.element_at("__m", F.lit(a))[k].alias(names[a]) for a, k in spec]
     failures = F.transform_values(F.map_filter("__m", lambda _, c: c["unfit"]), lambda _, c: c["t"])
     return mapped.select(*[F.col(i).alias(c) for i, c in zip(ids, entity)], *typed, failures.alias("cast_failures"))
 
