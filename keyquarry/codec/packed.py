@@ -84,6 +84,39 @@ def _back_length(size: int) -> int:
     return 1 if size <= 127 else 2 if size < 16383 else 3 if size < 2097151 else 4 if size < 268435455 else 5
 
 
+#: Text of the numbers that one byte holds.
+SMALL = tuple(b"%d" % n for n in range(128))
+#: Sizes in bytes of a listpack's integers by encoding.
+LISTPACK_INTS = {0xF1: 2, 0xF2: 3, 0xF3: 4, 0xF4: 8}
+
+
+def _long_string(blob: bytes, at: int) -> tuple[bytes, int]:
+    """(value, size) of a string of 64 bytes or more."""
+    b = blob[at]
+    if b < 0xF0:
+        n, head = (b & 0x0F) << 8 | blob[at + 1], 2
+    elif b == 0xF0:
+        n, head = int.from_bytes(blob[at + 1 : at + 5], "little"), 5
+    else:
+        raise CorruptData(f"listpack: unknown encoding {b:#x}")
+    return blob[at + head : at + head + n], head + n
+
+
+def _check_back(blob: bytes, at: int, size: int) -> int:
+    """The place behind an entry's length, which must be its size."""
+    back = _back_length(size)
+    if at + size + back > len(blob):
+        raise CorruptData("listpack: entry past the end")
+    stated = 0
+    for i, c in enumerate(blob[at + size : at + size + back]):
+        if back > 1 and bool(c & 0x80) != (i > 0):
+            raise CorruptData("listpack: entry length behind an entry is damaged")
+        stated = stated << 7 | (c & 0x7F if back > 1 else c)
+    if stated != size:
+        raise CorruptData("listpack: entry length behind an entry is wrong")
+    return at + size + back
+
+
 def listpack(blob: bytes, numbers: bool = False) -> list:
     """Elements of a listpack; with numbers, whole numbers stay int."""
     end = len(blob)
@@ -92,64 +125,45 @@ def listpack(blob: bytes, numbers: bool = False) -> list:
     if int.from_bytes(blob[:4], "little") != end:
         raise CorruptData("listpack: total bytes differ from the blob's")
     out: list = []
+    add, from_bytes = out.append, int.from_bytes
     at = 6
-    signed = int.from_bytes
-    while True:
-        if at >= end:
-            raise CorruptData("listpack: no end mark")
-        b = blob[at]
-        if b < 0x80:
-            value, size = b, 1
-        elif b < 0xC0:
-            n = b & 0x3F
-            value, size = blob[at + 1 : at + 1 + n], 1 + n
-        elif b < 0xE0:
-            if at + 2 > end:
-                raise CorruptData("listpack: entry past the end")
-            value, size = (b & 0x1F) << 8 | blob[at + 1], 2
-            if value >= 4096:
-                value -= 8192
-        elif b < 0xF0:
-            if at + 2 > end:
-                raise CorruptData("listpack: entry past the end")
-            n = (b & 0x0F) << 8 | blob[at + 1]
-            value, size = blob[at + 2 : at + 2 + n], 2 + n
-        elif b == 0xF0:
-            n = signed(blob[at + 1 : at + 5], "little")
-            value, size = blob[at + 5 : at + 5 + n], 5 + n
-        elif b == 0xF1:
-            value, size = signed(blob[at + 1 : at + 3], "little", signed=True), 3
-        elif b == 0xF2:
-            value, size = signed(blob[at + 1 : at + 4], "little", signed=True), 4
-        elif b == 0xF3:
-            value, size = signed(blob[at + 1 : at + 5], "little", signed=True), 5
-        elif b == 0xF4:
-            value, size = signed(blob[at + 1 : at + 9], "little", signed=True), 9
-        elif b == 0xFF:
-            if at != end - 1:
-                raise CorruptData("listpack: bytes after the end mark")
-            return out
-        else:
-            raise CorruptData(f"listpack: unknown encoding {b:#x}")
-        back = _back_length(size)
-        if at + size + back > end:
-            raise CorruptData("listpack: entry past the end")
-        if back == 1:
-            if blob[at + size] != size:
-                raise CorruptData("listpack: entry length behind an entry is wrong")
-        else:
-            stated = 0
-            for i, c in enumerate(blob[at + size : at + size + back]):
-                if bool(c & 0x80) != (i > 0):
-                    raise CorruptData("listpack: entry length behind an entry is damaged")
-                stated = stated << 7 | c & 0x7F
-            if stated != size:
-                raise CorruptData("listpack: entry length behind an entry is wrong")
-        if type(value) is int:
-            out.append(value if numbers else b"%d" % value)
-        else:
-            out.append(value)
-        at += size + back
+    try:
+        while True:
+            b = blob[at]
+            if b < 0x80:  # a number of 7 bits
+                if blob[at + 1] != 1:
+                    raise CorruptData("listpack: entry length behind an entry is wrong")
+                add(b if numbers else SMALL[b])
+                at += 2
+            elif b < 0xC0:  # a string of up to 63 bytes
+                stop = at + 1 + (b & 0x3F)
+                if blob[stop] != stop - at:
+                    raise CorruptData("listpack: entry length behind an entry is wrong")
+                add(blob[at + 1 : stop])
+                at = stop + 1
+            elif b < 0xE0 or 0xF0 < b < 0xF5:  # a number of 13 bits, or of whole bytes
+                if b < 0xE0:
+                    value = (b & 0x1F) << 8 | blob[at + 1]
+                    if value >= 4096:
+                        value -= 8192
+                    stop = at + 2
+                else:
+                    stop = at + 1 + LISTPACK_INTS[b]
+                    value = from_bytes(blob[at + 1 : stop], "little", signed=True)
+                if blob[stop] != stop - at:
+                    raise CorruptData("listpack: entry length behind an entry is wrong")
+                add(value if numbers else b"%d" % value)
+                at = stop + 1
+            elif b == 0xFF:
+                if at != end - 1:
+                    raise CorruptData("listpack: bytes after the end mark")
+                return out
+            else:
+                value, size = _long_string(blob, at)
+                at = _check_back(blob, at, size)
+                add(value)
+    except IndexError:
+        raise CorruptData("listpack: no end mark") from None
 
 
 def ziplist(blob: bytes, numbers: bool = False) -> list:
@@ -162,14 +176,19 @@ def ziplist(blob: bytes, numbers: bool = False) -> list:
     out: list = []
     at = 10
     try:
-        while blob[at] != 0xFF:
-            at += 5 if blob[at] == 0xFE else 1
+        while (previous := blob[at]) != 0xFF:
+            at += 5 if previous == 0xFE else 1
             b = blob[at]
+            if b < 0x40:  # a string of up to 63 bytes
+                stop = at + 1 + b
+                if stop > end:
+                    raise CorruptData("ziplist: entry past the end")
+                out.append(blob[at + 1 : stop])
+                at = stop
+                continue
             kind = b >> 6
             if kind < 3:
-                if kind == 0:
-                    n, head = b & 0x3F, 1
-                elif kind == 1:
+                if kind == 1:
                     n, head = (b & 0x3F) << 8 | blob[at + 1], 2
                 elif b == 0x80:
                     n, head = int.from_bytes(blob[at + 1 : at + 5], "big"), 5

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from . import names as N
 from .crc64 import crc64
@@ -13,6 +14,7 @@ from .packed import field_pairs, intset, listpack, lzf_decompress, scored_pairs,
 from .streams import read_stream
 
 BLOCK = 4 << 20
+DOUBLE = struct.Struct("<d").unpack_from
 
 
 @dataclass
@@ -51,8 +53,7 @@ class Header:
         return self.number("repl-offset", -(2**63), 2**63 - 1)
 
 
-@dataclass
-class Entry:
+class Entry(NamedTuple):
     """One key, or one chunk of a long key (then total and offset are set)."""
 
     db: int
@@ -71,7 +72,7 @@ class Source:
 
     def __init__(self, raw, verify: bool = True, base: int = 0):
         self.raw, self.verify, self.base = raw, verify, base
-        self.buf, self.at, self.crc = b"", 0, 0
+        self.buf, self.at, self.size, self.crc = b"", 0, 0, 0
 
     @property
     def position(self) -> int:
@@ -86,15 +87,15 @@ class Source:
         while have < n:
             part = self.raw.read(max(BLOCK, n - have))
             if not part:
-                self.buf = b"".join(parts)
+                self.buf, self.size = b"".join(parts), have
                 raise Truncated(f"the file ends within a value: {n} bytes wanted, {have} left")
             parts.append(part)
             have += len(part)
-        self.buf = b"".join(parts)
+        self.buf, self.size = b"".join(parts), have
 
     def take(self, n: int) -> bytes:
         end = self.at + n
-        if end > len(self.buf):
+        if end > self.size:
             self._more(n)
             end = n
         out = self.buf[self.at : end]
@@ -102,7 +103,7 @@ class Source:
         return out
 
     def byte(self) -> int:
-        if self.at >= len(self.buf):
+        if self.at >= self.size:
             self._more(1)
         b = self.buf[self.at]
         self.at += 1
@@ -139,6 +140,19 @@ class Source:
         return n
 
     def string(self) -> bytes:
+        at = self.at
+        if at < self.size:
+            n = self.buf[at]
+            if n < 64:  # one byte of length, and all of the string in the buffer
+                end = at + 1 + n
+                if end <= self.size:
+                    self.at = end
+                    return self.buf[at + 1 : end]
+            elif n < 128 and at + 2 <= self.size:  # two bytes of length
+                end = at + 2 + ((n & 63) << 8 | self.buf[at + 1])
+                if end <= self.size:
+                    self.at = end
+                    return self.buf[at + 2 : end]
         n, special = self.length_or_special()
         if not special:
             if n > N.MAX_ALLOCATION:
@@ -152,6 +166,10 @@ class Source:
         raise CorruptData(f"unknown string encoding {n}")
 
     def skip_string(self) -> None:
+        at = self.at
+        if at < self.size and (n := self.buf[at]) < 64 and at + 1 + n <= self.size:
+            self.at = at + 1 + n
+            return
         n, special = self.length_or_special()
         if not special:
             if n > N.MAX_ALLOCATION:
@@ -166,6 +184,13 @@ class Source:
         else:
             raise CorruptData(f"unknown string encoding {n}")
 
+    def double(self) -> float:
+        at = self.at
+        if at + 8 <= self.size:
+            self.at = at + 8
+            return DOUBLE(self.buf, at)[0]
+        return DOUBLE(self.take(8))[0]
+
     def text_double(self) -> float:
         n = self.byte()
         if n >= 253:
@@ -292,10 +317,15 @@ class SnapshotReader:
                     if cuts is not None and s.position - cuts[-1][0] >= self._cut_size:
                         cuts.append((s.position, db))
                     continue
+                if op in N.PLAIN:
+                    yield from self._chunks(db, key, op, *now)
+                    continue
                 try:
-                    yield from self._values(db, key, op, *now)
+                    value = self._packed(op)
                 except UnknownType:
                     self.skipped_unknown += 1
+                else:
+                    yield Entry(db, key, op, *now, value)
             elif op == N.OP_SELECTDB:
                 db = s.length()
                 if db > 0xFFFFFFFF:
@@ -352,7 +382,8 @@ class SnapshotReader:
         if code == N.HASH:
             return [(string(), string(), None) for _ in range(n)]
         if code == N.ZSET_2:
-            return [(string(), struct.unpack("<d", s.take(8))[0]) for _ in range(n)]
+            double = s.double
+            return [(string(), double()) for _ in range(n)]
         if code == N.ZSET:
             return [(string(), s.text_double()) for _ in range(n)]
         out = []
@@ -362,18 +393,14 @@ class SnapshotReader:
             out.append((f, v, None if at == -1 else at))
         return out
 
-    def _values(self, db: int, key: bytes, code: int, expiry, idle, freq) -> Iterator[Entry]:
-        s = self.source
-        if code in N.PLAIN:
-            n = s.count()
-            step = self.chunk or max(n, 1)
-            if n <= step:
-                yield Entry(db, key, code, expiry, idle, freq, self._elements(code, n))
-            else:
-                for at in range(0, n, step):
-                    yield Entry(db, key, code, expiry, idle, freq, self._elements(code, min(step, n - at)), n, at)
-            return
-        yield Entry(db, key, code, expiry, idle, freq, self._packed(code))
+    def _chunks(self, db: int, key: bytes, code: int, expiry, idle, freq) -> Iterator[Entry]:
+        n = self.source.count()
+        step = self.chunk or max(n, 1)
+        if n <= step:
+            yield Entry(db, key, code, expiry, idle, freq, self._elements(code, n))
+        else:
+            for at in range(0, n, step):
+                yield Entry(db, key, code, expiry, idle, freq, self._elements(code, min(step, n - at)), n, at)
 
     def _packed(self, code: int):
         s = self.source

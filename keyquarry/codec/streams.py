@@ -12,27 +12,14 @@ DELETED, SAME_FIELDS = 1, 2
 MAX_ID = 2**64 - 1
 
 
-class _Walk:
-    """Elements of one listpack, taken in order."""
+def _number(n) -> int:
+    if type(n) is not int or n < 0:
+        raise CorruptData(f"stream: expected a whole number of 0 or more, got {n!r:.40}")
+    return n
 
-    def __init__(self, blob: bytes):
-        self.elements, self.at = listpack(blob, numbers=True), 0
 
-    def next(self):
-        if self.at >= len(self.elements):
-            raise CorruptData("stream: its listpack ends within an entry")
-        self.at += 1
-        return self.elements[self.at - 1]
-
-    def number(self) -> int:
-        n = self.next()
-        if type(n) is not int or n < 0:
-            raise CorruptData(f"stream: expected a whole number of 0 or more, got {n!r:.40}")
-        return n
-
-    def bytes(self) -> bytes:
-        v = self.next()
-        return b"%d" % v if type(v) is int else v
+def _text(v) -> bytes:
+    return b"%d" % v if type(v) is int else v
 
 
 def entries_of(master: bytes, blob: bytes, room: int = MAX_STREAM_ENTRIES) -> list[tuple[str, list[tuple[bytes, bytes]]]]:
@@ -40,33 +27,38 @@ def entries_of(master: bytes, blob: bytes, room: int = MAX_STREAM_ENTRIES) -> li
     if len(master) != 16:
         raise CorruptData(f"stream: master id of {len(master)} bytes")
     ms, seq = struct.unpack(">QQ", master)
-    walk = _Walk(blob)
-    if not walk.elements:
+    items = listpack(blob, numbers=True)
+    if not items:
         return []
-    live, dead, n_fields = walk.number(), walk.number(), walk.number()
-    if n_fields > len(walk.elements):
-        raise CorruptData("stream: more master fields than elements")
-    master_fields = [walk.bytes() for _ in range(n_fields)]
-    if walk.next() != 0:
-        raise CorruptData("stream: no zero after the master fields")
     out = []
-    for _ in range(live + dead):
-        flags, d_ms, d_seq = walk.number(), walk.number(), walk.number()
-        if ms + d_ms > MAX_ID or seq + d_seq > MAX_ID:
-            raise CorruptData("stream: id past 64 bits")
-        if flags & SAME_FIELDS:
-            fields = [(f, walk.bytes()) for f in master_fields]
-        else:
-            n = walk.number()
-            if n > len(walk.elements):
-                raise CorruptData("stream: more fields than elements")
-            fields = [(walk.bytes(), walk.bytes()) for _ in range(n)]
-        walk.number()  # elements of the entry, for walking backwards
-        if not flags & DELETED:
-            if len(out) >= room:
-                raise CorruptData(f"stream: more than {MAX_STREAM_ENTRIES} entries")
-            out.append((f"{ms + d_ms}-{seq + d_seq}", fields))
-    if walk.at != len(walk.elements):
+    try:
+        live, dead, n_fields = map(_number, items[:3])
+        at = 3 + n_fields
+        if items[at] != 0 or type(items[at]) is not int:
+            raise CorruptData("stream: no zero after the master fields")
+        master_fields = [_text(f) for f in items[3:at]]
+        at += 1
+        for _ in range(live + dead):
+            flags, d_ms, d_seq = _number(items[at]), _number(items[at + 1]), _number(items[at + 2])
+            at += 3
+            if ms + d_ms > MAX_ID or seq + d_seq > MAX_ID:
+                raise CorruptData("stream: id past 64 bits")
+            if flags & SAME_FIELDS:
+                end = at + n_fields
+                fields = list(zip(master_fields, map(_text, items[at:end])))
+            else:
+                at += 1
+                end = at + 2 * _number(items[at - 1])
+                fields = list(zip(map(_text, items[at:end:2]), map(_text, items[at + 1 : end : 2])))
+            _number(items[end])  # elements of the entry, for walking backwards
+            at = end + 1
+            if not flags & DELETED:
+                if len(out) >= room:
+                    raise CorruptData(f"stream: more than {MAX_STREAM_ENTRIES} entries")
+                out.append((f"{ms + d_ms}-{seq + d_seq}", fields))
+    except (IndexError, ValueError):  # ValueError: fewer than three elements
+        raise CorruptData("stream: its listpack ends within an entry") from None
+    if at != len(items):
         raise CorruptData("stream: elements after the last entry")
     return out
 
