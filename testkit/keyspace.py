@@ -192,6 +192,6 @@ def build(spark: SparkSession, sf_dir: str, name: str) -> str:
             f.write(snapshot.bytes())
         yield pd.DataFrame({"n": [n]})
 
-    rows.repartition(FILES, "__key").mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    rows.repartition(FILES, F.xxhash64("__key")).mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
     _built[known] = folder
     return folder
