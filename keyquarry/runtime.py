@@ -103,6 +103,12 @@ def local_table(spark: SparkSession, rows: pa.Table, schema: StructType | str) -
     return spark.createDataFrame(rows, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work in Python on few files; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
     """Join on equal names where null equals null; the right side's copies of the names are dropped."""
     r = right.select([F.col(f"`{c}`").alias(f"__r_{c}") if c in names else F.col(f"`{c}`") for c in right.columns])
