@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship, small_side, utf8
+from ..runtime import materialize, ship, small_side, spread, utf8
 from . import bpe, distinct, mixing, splitting, topn
 
 
@@ -50,12 +50,13 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(long("doc_id"), bpe.token_ids(F.col("text")).alias("ids"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(long("doc_id"), bpe.token_ids(F.col("text")).alias("ids"))
 
 
 def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens) of all documents, written once, as several steps read it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return materialize(docs.select("doc_id", "source", bpe.token_count(F.col("text")).alias("n_tokens")), "sizes")
 
 
@@ -89,7 +90,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = splitting.split_oversized(table(spark, sf_dir, "documents"))
+    pieces = splitting.split_oversized(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return pieces.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
