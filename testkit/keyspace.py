@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyquarry.codec import names as N
-from keyquarry.runtime import ship, shared_dir
+from keyquarry.runtime import fresh_path, ship
 from keyquarry.sources.parquetblocks import open_fs
 
 from . import encoder as E
@@ -170,7 +170,7 @@ def build(spark: SparkSession, sf_dir: str, name: str) -> str:
     if known in _built:
         return _built[known]
     space = KEYSPACES[name]
-    folder = f"{shared_dir(spark)}/keyspaces/{abs(hash(known)):x}-{name}"
+    folder = fresh_path(spark, f"keyspace-{name}")
     rows = space.rows(spark, sf_dir)
     columns = rows.columns
 
