@@ -17,6 +17,7 @@ from ..runtime import fresh_path, materialize, ship
 from ..sources import parquetblocks
 
 TARGET_BYTES = 256 << 20
+FOOTERS_PER_TASK = 1000
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -25,18 +26,29 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.col("path").endswith(".parquet")).select("path", "length")
 
 
-def plan_bins(files: DataFrame, target_bytes: int) -> DataFrame:
-    """(path, length, signature, n_blocks, n_rows, bin): which files go together.
+def read_facts(files: DataFrame) -> DataFrame:
+    """(path, length, signature, n_blocks, n_rows) from the files' footers, FOOTERS_PER_TASK of them in a task."""
 
-    Footers are read in parallel. A task fills bins one after the other with files of one signature; it sees about 16
-    bins' worth of files, so few bins are left part full. The plan is written, so that a repeated task can't bin anew.
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = parquetblocks.footers_facts(list(batch["path"]))
+            yield batch.assign(**{name: [f[i] for f in found] for i, name in enumerate(("signature", "n_blocks", "n_rows"))})
+
+    tasks = max(1, files.count() // FOOTERS_PER_TASK)
+    spread = files.repartition(tasks, F.xxhash64("path"))
+    return materialize(spread.mapInPandas(facts, "path string, length bigint, signature string, n_blocks bigint, n_rows bigint"), "footers")
+
+
+def plan_bins(facts: DataFrame, target_bytes: int) -> DataFrame:
+    """facts with a column bin: which files go together.
+
+    A task fills bins one after the other with files of one signature; it sees about 16 bins' worth of files, so few
+    bins are left part full. The plan is written, so that a repeated task can't bin anew.
     """
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filled: dict[str, tuple[str, int]] = {}
         for batch in batches:
-            facts = [parquetblocks.footer_facts(p) for p in batch["path"]]
-            batch["signature"], batch["n_blocks"], batch["n_rows"] = ([f[i] for f in facts] for i in range(3))
             names = []
             for p, n, s in zip(batch["path"], batch["length"], batch["signature"]):
                 name, size = filled.get(s, ("", 0))
@@ -44,13 +56,11 @@ def plan_bins(files: DataFrame, target_bytes: int) -> DataFrame:
                     name, size = hashlib.sha1(p.encode()).hexdigest(), 0
                 filled[s] = (name, size + n)
                 names.append(name)
-            batch["bin"] = names
-            yield batch
+            yield batch.assign(bin=names)
 
-    total = files.agg(F.sum("length")).first()[0] or 0
-    spread = files.repartition(max(1, -(-total // (16 * target_bytes))), F.xxhash64("path")).sortWithinPartitions("path")
-    schema = "path string, length bigint, signature string, n_blocks bigint, n_rows bigint, bin string"
-    return materialize(spread.mapInPandas(bins, schema), "bins")
+    total = facts.agg(F.sum("length")).first()[0] or 0
+    spread = facts.repartition(max(1, -(-total // (16 * target_bytes))), F.xxhash64("path")).sortWithinPartitions("path")
+    return materialize(spread.mapInPandas(bins, "path string, length bigint, signature string, n_blocks bigint, n_rows bigint, bin string"), "bins")
 
 
 def compact_files(spark: SparkSession, path: str, out_dir: str | None = None, target_bytes: int = TARGET_BYTES) -> tuple[str, DataFrame]:
@@ -63,7 +73,7 @@ def compact_files(spark: SparkSession, path: str, out_dir: str | None = None, ta
     """
     ship(spark)
     folder = out_dir or fresh_path(spark, "compacted")
-    plan = plan_bins(list_files(spark, path), target_bytes)
+    plan = plan_bins(read_facts(list_files(spark, path)), target_bytes)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("path")

@@ -5,14 +5,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from collections import deque
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 
 from . import thriftcompact as tc
 
 MAGIC = b"PAR1"
 COPY_BYTES = 8 << 20
+#: Files read ahead of the one that is being copied; each is at most COPY_BYTES in memory.
+READERS = 8
 
 # Field ids of the Parquet footer's structures.
 META_SCHEMA, META_ROWS, META_GROUPS, META_KEY_VALUE, META_ORDERS, META_ENCRYPTION = 2, 3, 4, 5, 7, 8
@@ -84,6 +90,35 @@ def footer_facts(path: str) -> tuple[str, int, int]:
     return footer.signature, len(footer.groups), footer.rows
 
 
+def footers_facts(paths: list[str]) -> list[tuple[str, int, int]]:
+    """footer_facts of several files; while one waits for its storage, others are read."""
+    with ThreadPoolExecutor(READERS) as pool:
+        return list(pool.map(footer_facts, paths))
+
+
+def _open_ahead(path: str):
+    """A file to read from; a small one is read at once, so that it can be read before its turn."""
+    filesystem, name = open_fs(path)
+    f = filesystem.open_input_file(name)
+    if f.size() > COPY_BYTES:
+        return f
+    with f:
+        return pa.BufferReader(f.read())
+
+
+def opened(paths: list[str]) -> Iterator[tuple[str, pa.NativeFile]]:
+    """(path, open file) one after the other, with READERS files read ahead."""
+    with ThreadPoolExecutor(READERS) as pool:
+        waiting: deque = deque()
+        for at in range(len(paths) + READERS):
+            if at < len(paths):
+                waiting.append((paths[at], pool.submit(_open_ahead, paths[at])))
+            if waiting and (at >= READERS or at >= len(paths)):
+                path, ahead = waiting.popleft()
+                with ahead.result() as f:
+                    yield path, f
+
+
 def _copy(source, sink, start: int, size: int) -> None:
     source.seek(start)
     while size:
@@ -107,48 +142,46 @@ def join_files(paths: list[str], target: str) -> tuple[int, int, int]:
     with out_fs.open_output_stream(temporary) as sink:
         sink.write(MAGIC)
         at = 4
-        for path in paths:
-            in_fs, name = open_fs(path)
-            with in_fs.open_input_file(name) as source:
-                footer = read_footer(source, path)
-                if first is None:
-                    first = footer
-                if footer.signature != first.signature:
-                    raise IncompatibleBlocks(f"{path}: its schema differs from that of {paths[0]}")
-                for k, v in footer.key_values.items():
-                    if kept.setdefault(k, v) != v:
-                        clash.add(k)
-                for group in footer.groups:
-                    group = dict(group)
-                    element, chunks = group[GROUP_COLUMNS][1]
-                    moved = []
-                    group_at = at
-                    for chunk in chunks:
-                        if CHUNK_PATH in chunk or CHUNK_META not in chunk:
-                            raise IncompatibleBlocks(f"{path}: a column lies outside the file")
-                        column = dict(chunk[CHUNK_META][1])
-                        size = column[COLUMN_SIZE][1]
-                        dictionary = column.get(COLUMN_DICTIONARY, (0, 0))[1]
-                        start = dictionary if 0 < dictionary < column[COLUMN_DATA][1] else column[COLUMN_DATA][1]
-                        _copy(source, sink, start, size)
-                        for k in (COLUMN_DATA, COLUMN_INDEX, COLUMN_DICTIONARY):
-                            if k in column and column[k][1] > 0:
-                                column[k] = (column[k][0], column[k][1] - start + at)
-                        for k in COLUMN_BLOOM:
-                            column.pop(k, None)
-                        chunk = {k: v for k, v in chunk.items() if k not in CHUNK_INDEXES}
-                        chunk[CHUNK_OFFSET] = (tc.I64, at)
-                        chunk[CHUNK_META] = (tc.STRUCT, column)
-                        moved.append(chunk)
-                        at += size
-                    group[GROUP_COLUMNS] = (tc.LIST, (element, moved))
-                    if GROUP_OFFSET in group:
-                        group[GROUP_OFFSET] = (tc.I64, group_at)
-                    group.pop(GROUP_ORDINAL, None)
-                    groups.append(group)
-                    rows += group[GROUP_ROWS][1]
-                if sum(g[GROUP_ROWS][1] for g in footer.groups) != footer.rows:
-                    raise IncompatibleBlocks(f"{path}: the rows of its blocks don't add up to the file's")
+        for path, source in opened(paths):
+            footer = read_footer(source, path)
+            if first is None:
+                first = footer
+            if footer.signature != first.signature:
+                raise IncompatibleBlocks(f"{path}: its schema differs from that of {paths[0]}")
+            for k, v in footer.key_values.items():
+                if kept.setdefault(k, v) != v:
+                    clash.add(k)
+            for group in footer.groups:
+                group = dict(group)
+                element, chunks = group[GROUP_COLUMNS][1]
+                moved = []
+                group_at = at
+                for chunk in chunks:
+                    if CHUNK_PATH in chunk or CHUNK_META not in chunk:
+                        raise IncompatibleBlocks(f"{path}: a column lies outside the file")
+                    column = dict(chunk[CHUNK_META][1])
+                    size = column[COLUMN_SIZE][1]
+                    # Pages lie one after the other, the dictionary first; a block without rows may lack either.
+                    start = min(x for x in (column.get(COLUMN_DICTIONARY, (0, 0))[1], column[COLUMN_DATA][1]) if x > 0)
+                    _copy(source, sink, start, size)
+                    for k in (COLUMN_DATA, COLUMN_INDEX, COLUMN_DICTIONARY):
+                        if k in column and column[k][1] > 0:
+                            column[k] = (column[k][0], column[k][1] - start + at)
+                    for k in COLUMN_BLOOM:
+                        column.pop(k, None)
+                    chunk = {k: v for k, v in chunk.items() if k not in CHUNK_INDEXES}
+                    chunk[CHUNK_OFFSET] = (tc.I64, at)
+                    chunk[CHUNK_META] = (tc.STRUCT, column)
+                    moved.append(chunk)
+                    at += size
+                group[GROUP_COLUMNS] = (tc.LIST, (element, moved))
+                if GROUP_OFFSET in group:
+                    group[GROUP_OFFSET] = (tc.I64, group_at)
+                group.pop(GROUP_ORDINAL, None)
+                groups.append(group)
+                rows += group[GROUP_ROWS][1]
+            if sum(g[GROUP_ROWS][1] for g in footer.groups) != footer.rows:
+                raise IncompatibleBlocks(f"{path}: the rows of its blocks don't add up to the file's")
         meta = dict(first.meta)
         meta[META_ROWS] = (tc.I64, rows)
         meta[META_GROUPS] = (tc.LIST, (tc.STRUCT, groups))
