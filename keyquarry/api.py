@@ -10,10 +10,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from .codec.errors import SnapshotError, Truncated, from_message
+from .codec.errors import SnapshotError, Truncated, Unreadable, from_message
 from .functions.schemas import parse_heuristics, parse_types
 from .operators import summary
 from .operators.tables import read_entries, read_info, select_entries, tables
@@ -21,6 +20,10 @@ from .sources import sinks
 
 
 class SnapshotIOError(OSError):
+    """A file that ends early, or can't be read."""
+
+
+class SnapshotUnreadableError(SnapshotIOError):
     pass
 
 
@@ -33,16 +36,12 @@ def told():
     """Turns what a worker or the driver says of a snapshot into OSError or ValueError."""
     try:
         yield
-    except (SnapshotError, PySparkException) as e:
+    except Exception as e:  # of this module's own, of Spark, or of the JVM gateway
         known = e if isinstance(e, SnapshotError) else from_message(str(e))
         if known is None:
             raise
-        raise (SnapshotIOError if isinstance(known, Truncated) else SnapshotValueError)(str(known)) from None
-    except Exception as e:  # errors of the JVM gateway
-        known = from_message(str(e))
-        if known is None:
-            raise
-        raise (SnapshotIOError if isinstance(known, Truncated) else SnapshotValueError)(str(known)) from None
+        kind = SnapshotUnreadableError if isinstance(known, Unreadable) else SnapshotIOError if isinstance(known, Truncated) else SnapshotValueError
+        raise kind(str(known)) from None
 
 
 def entries(spark: SparkSession, path: str, max_key_elements: int | None = None, chunking: bool = True, verify_crc: bool = True, db: int | None = None, types: str | None = None, key_pattern: str | None = None, batch_rows: int | None = None, batch_bytes: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import shutil
 import sys
 import tempfile
 
-from .api import SnapshotIOError, SnapshotValueError
+from .api import SnapshotIOError, SnapshotUnreadableError, SnapshotValueError
 from .codec.names import DEFAULT_CHUNK
 from .functions.schemas import TYPES, describe, parse_heuristics, parse_types
 from .sources import sinks
@@ -148,8 +148,7 @@ def main(argv: list[str] | None = None) -> int:
         return run_export(a) if a.command == "export" else run_validate(a)
     except (SnapshotValueError, SnapshotIOError) as e:
         print(f"error: {e}", file=sys.stderr)
-        missing = "no such snapshot" in str(e)
-        return IO if missing else CORRUPT  # a file that ends early is a damaged one
+        return IO if isinstance(e, SnapshotUnreadableError) else CORRUPT  # a file that ends early is a damaged one
     except OSError as e:
         print(f"error: {e}", file=sys.stderr)
         return IO

@@ -24,7 +24,13 @@ class CorruptData(SnapshotError):
 
 
 class Truncated(SnapshotError):
-    """The file ends in the middle, or can't be read."""
+    """The file ends in the middle."""
+
+    tag = "[SNAPSHOT_ENDS]"
+
+
+class Unreadable(SnapshotError):
+    """The file can't be opened or read."""
 
     tag = "[SNAPSHOT_IO]"
 
@@ -35,7 +41,7 @@ class UnknownType(SnapshotError):
     tag = "[SNAPSHOT_TYPE]"
 
 
-KINDS = (InvalidMagic, UnsupportedVersion, CorruptData, Truncated, UnknownType)
+KINDS = (InvalidMagic, UnsupportedVersion, CorruptData, Truncated, Unreadable, UnknownType)
 
 
 def from_message(text: str) -> SnapshotError | None:

@@ -28,8 +28,6 @@ def entries_of(master: bytes, blob: bytes, room: int = MAX_STREAM_ENTRIES) -> li
         raise CorruptData(f"stream: master id of {len(master)} bytes")
     ms, seq = struct.unpack(">QQ", master)
     items = listpack(blob, numbers=True)
-    if not items:
-        return []
     out = []
     try:
         live, dead, n_fields = map(_number, items[:3])

@@ -20,7 +20,7 @@ def hll_encoding(value: Column) -> Column:
 
 def hll_cached_cardinality(value: Column) -> Column:
     """The count kept in bytes 8 to 15, little-endian; -1 where the top bit marks it stale or the value is too short."""
-    digits = F.hex(value)
+    digits = F.hex(F.substring(value, 1, 16))
     number = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(15, 7, -1)])
     stale = F.substring(digits, 31, 1) >= "8"
     return F.when((F.octet_length(value) < 16) | stale, F.lit(-1)).otherwise(F.conv(number, 16, 10).cast("bigint"))

@@ -22,7 +22,7 @@ from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..codec import names as N
-from ..codec.errors import SnapshotError, Truncated
+from ..codec.errors import SnapshotError, Unreadable
 from ..codec.reader import Entry, SnapshotReader
 from ..functions.columns import glob_regex
 from ..functions.schemas import ENTRIES, INFO, parse_types
@@ -37,7 +37,7 @@ def open_snapshot(path: str):
         filesystem, name = open_fs(path)
         return filesystem.open_input_stream(name)
     except OSError as e:
-        raise Truncated(f"{path}: {e}") from None
+        raise Unreadable(f"{path}: {e}") from None
 
 
 def list_snapshots(path: str) -> list[str]:
@@ -59,7 +59,7 @@ def list_snapshots(path: str) -> list[str]:
             else:
                 found = []
         if not found:
-            raise Truncated(f"{one}: no such snapshot")
+            raise Unreadable(f"{one}: no such snapshot")
         out += [scheme + f for f in sorted(found)]
     return out
 
@@ -219,7 +219,7 @@ def read_batches(path: str, o: dict) -> Iterator[pa.RecordBatch]:
     except SnapshotError as e:
         raise _of_file(path, e) from None
     except OSError as e:
-        raise Truncated(f"{path}: {e}") from None
+        raise Unreadable(f"{path}: {e}") from None
 
 
 #: Entries that one part of a file may have; seq is part * PART_ENTRIES + place in the part.
@@ -268,7 +268,7 @@ def read_part(path: str, part: int, start: int, end: int, db: int, o: dict) -> I
     except SnapshotError as e:
         raise _of_file(path, e) from None
     except OSError as e:
-        raise Truncated(f"{path}: {e}") from None
+        raise Unreadable(f"{path}: {e}") from None
 
 
 class _Reader(DataSourceReader):
@@ -306,6 +306,8 @@ class InfoReader(_Reader):
                 yield (partition.path, h.magic, h.version, dict(sorted(h.aux.items())), h.server_version, u(h.ctime), u(h.used_mem), h.repl_id, h.repl_offset, reader.skipped_unknown, reader.crc_checked)
         except SnapshotError as e:
             raise _of_file(partition.path, e) from None
+        except OSError as e:
+            raise Unreadable(f"{partition.path}: {e}") from None
 
 
 class SnapshotSource(DataSource):

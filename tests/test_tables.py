@@ -21,8 +21,18 @@ from keyquarry.sources import sinks
 from testkit import encoder as E
 
 FAR = 4102444800000
-LOG = [(1772784406052, 0, [(b"name", b"alice"), (b"age", b"30")]), (1772784406055, 0, [(b"name", b"bob"), (b"age", b"25")]), (1772784406058, 0, [])]
-PALERMO, CATANIA = 3479099956230698.0, 3479447370796909.0
+LOG = [(1690001112223, 0, [(b"valve", b"north"), (b"turns", b"17")]), (1690001112230, 4, [(b"valve", b"south"), (b"turns", b"-8")]), (1690001112299, 0, [])]
+#: Positions, made by interleaving 26-bit cells, and where they are.
+PLACES = {b"lisbon": (-9.139, 38.722), b"quito": (-78.467, -0.180)}
+
+
+def position(lon, lat):
+    """The 52-bit score of a position: bits of the longitude's cell and the latitude's cell in turn."""
+    x, y = int((lon + 180) / 360 * 2**26), int((lat + 85.05112878) / 170.10225756 * 2**26)
+    return float(sum((x >> i & 1) << 2 * i + 1 | (y >> i & 1) << 2 * i for i in range(26)))
+
+
+LISBON, QUITO = (position(*p) for p in PLACES.values())
 
 
 def hash_body(pairs):
@@ -35,12 +45,12 @@ def zset_body(pairs):
 
 def basic(magic="VALKEY", version=80):
     s = E.Snapshot(magic, version)
-    s.add(N.STRING, b"mystring", E.string(b"hello world"))
-    s.add(N.LIST_QUICKLIST_2, b"mylist", E.quicklist2([b"a", b"b", b"c"]))
-    s.add(N.SET_LISTPACK, b"myset", E.string(E.listpack([b"x", b"y", b"z"])))
-    s.add(N.ZSET_LISTPACK, b"myzset", E.string(E.listpack([b"alice", b"1.5", b"bob", b"2.7", b"charlie", b"0.3"])))
-    s.add(N.HASH_LISTPACK, b"myhash", hash_body([(b"field%d" % i, b"value%d" % i) for i in (1, 2, 3)]))
-    s.add(N.STRING, b"expiring_key", E.string(b"gone soon"), expiry_ms=FAR)
+    s.add(N.STRING, b"tide_note", E.string(b"seven tides"))
+    s.add(N.LIST_QUICKLIST_2, b"tide_list", E.quicklist2([b"red", b"", b"blue"]))
+    s.add(N.SET_LISTPACK, b"tide_set", E.string(E.listpack([b"oak", b"elm", b"ash"])))
+    s.add(N.ZSET_LISTPACK, b"tide_zset", E.string(E.listpack([b"pump", b"4.25", b"sluice", b"-7.5", b"weir", b"19.75"])))
+    s.add(N.HASH_LISTPACK, b"tide_hash", hash_body([(b"depth", b"12"), (b"bed", b"gravel"), (b"gate", b"shut")]))
+    s.add(N.STRING, b"ebb", E.string(b"low water"), expiry_ms=FAR)
     return s
 
 
@@ -48,7 +58,7 @@ def mixed():
     """Every type, empty collections, virtual types, several dbs."""
     s = basic()
     s.add(N.LIST, b"empty_list", E.length(0), db=1).add(N.SET, b"empty_set", E.length(0), db=1).add(N.ZSET_2, b"empty_zset", E.length(0), db=1).add(N.HASH, b"empty_hash", E.length(0), db=1)
-    s.add(N.ZSET_2, b"places", zset_body([(b"palermo", PALERMO), (b"catania", CATANIA)]), db=2, idle=2**63, freq=255)
+    s.add(N.ZSET_2, b"places", zset_body([(b"lisbon", LISBON), (b"quito", QUITO)]), db=2, idle=2**63, freq=255)
     s.add(N.ZSET_2, b"odd_scores", zset_body([(b"nan", math.nan), (b"inf", math.inf)]), db=2)
     s.add(N.ZSET_LISTPACK, b"small_ints", E.string(E.listpack([b"a", 1, b"b", 2])), db=2)
     s.add(N.STRING, b"sketch", E.string(b"HYLL\x00\x00\x00\x00" + struct.pack("<Q", 77) + b"\x00" * 4), db=2)
@@ -98,9 +108,9 @@ def test_schemas(spark, files):
 
 @pytest.mark.parametrize("which", ["basic", "compat"])
 def test_basic(spark, files, which):
-    assert rows(kind(spark, files, "string", which), "key", "value", "expiry_ms", "encoding", "num_elements") == [(b"mystring", b"hello world", None, "string", 1), (b"expiring_key", b"gone soon", FAR, "string", 1)]
-    assert rows(kind(spark, files, "list", which), "index", "element", "encoding") == [(0, b"a", "quicklist2"), (1, b"b", "quicklist2"), (2, b"c", "quicklist2")]
-    assert rows(kind(spark, files, "zset", which), "member", "score") == [(b"alice", 1.5), (b"bob", 2.7), (b"charlie", 0.3)]
+    assert rows(kind(spark, files, "string", which), "key", "value", "expiry_ms", "encoding", "num_elements") == [(b"tide_note", b"seven tides", None, "string", 1), (b"ebb", b"low water", FAR, "string", 1)]
+    assert rows(kind(spark, files, "list", which), "index", "element", "encoding") == [(0, b"red", "quicklist2"), (1, b"", "quicklist2"), (2, b"blue", "quicklist2")]
+    assert rows(kind(spark, files, "zset", which), "member", "score") == [(b"pump", 4.25), (b"sluice", -7.5), (b"weir", 19.75)]
     assert kind(spark, files, "geo", which).count() == 0 and kind(spark, files, "hyperloglog", which).count() == 0
     info = api.inspect(spark, files[which])
     assert info["magic"] == {"basic": "VALKEY", "compat": "REDIS"}[which] and info["rdb_version"] == {"basic": 80, "compat": 9}[which] and info["server_version"] == "8.0.1"
@@ -121,9 +131,9 @@ def test_empty_collections_have_a_row(spark, files):
 
 def test_virtual_types(spark, files):
     got = rows(kind(spark, files, "geo"), "key", "type", "member", "longitude", "latitude", "geohash_score", "lru_idle_secs", "lfu_frequency")
-    assert [(g[0], g[1], g[2]) for g in got] == [(b"places", "geo", b"palermo"), (b"places", "geo", b"catania"), (b"small_ints", "geo", b"a"), (b"small_ints", "geo", b"b")]
-    assert got[0][3:5] == pytest.approx((13.361389, 38.115556), abs=0.001) and got[1][3:5] == pytest.approx((15.087269, 37.502669), abs=0.001)
-    assert got[0][5:] == (PALERMO, Decimal(2**63), 255)
+    assert [(g[0], g[1], g[2]) for g in got] == [(b"places", "geo", b"lisbon"), (b"places", "geo", b"quito"), (b"small_ints", "geo", b"a"), (b"small_ints", "geo", b"b")]
+    assert got[0][3:5] == pytest.approx(PLACES[b"lisbon"], abs=1e-4) and got[1][3:5] == pytest.approx(PLACES[b"quito"], abs=1e-4)
+    assert got[0][5:] == (LISBON, Decimal(2**63), 255)
     assert {r[0] for r in rows(kind(spark, files, "zset"), "key")} >= {b"places", b"small_ints", b"odd_scores"}
     assert table(read_entries(spark, files["mixed"]), "geo", frozenset()).count() == 0
     assert rows(kind(spark, files, "hyperloglog"), "key", "type", "hll_encoding", "cached_cardinality", "num_elements") == [(b"sketch", "hyperloglog", "dense", 77, 1), (b"stale", "hyperloglog", "sparse", -1, 1)]
@@ -134,7 +144,7 @@ def test_modules_streams_field_expiry(spark, files):
     got = rows(kind(spark, files, "module").where("num_elements > 0"), "module_name", "module_version", "value_index", "opcode", "int_value", "double_value", "string_value")
     assert got == [("testparts", 5, 0, "sint", Decimal(2**64 - 1), None, None), ("testparts", 5, 1, "uint", Decimal(5), None, None), ("testparts", 5, 2, "float", None, 0.5, None), ("testparts", 5, 3, "double", None, 2.5, None), ("testparts", 5, 4, "string", None, None, b"s")]
     got = rows(kind(spark, files, "stream").where(F.col("key") == b"log"), "stream_id", "field", "field_value", "num_elements")
-    assert got == [("1772784406052-0", b"name", b"alice", 3), ("1772784406052-0", b"age", b"30", 3), ("1772784406055-0", b"name", b"bob", 3), ("1772784406055-0", b"age", b"25", 3), ("1772784406058-0", None, None, 3)]
+    assert got == [("1690001112223-0", b"valve", b"north", 3), ("1690001112223-0", b"turns", b"17", 3), ("1690001112230-4", b"valve", b"south", 3), ("1690001112230-4", b"turns", b"-8", 3), ("1690001112299-0", None, None, 3)]
     assert rows(kind(spark, files, "hash").where(F.col("key") == b"hfe"), "field", "field_value", "field_expiry_ms") == [(b"stay", b"1", None), (b"go", b"2", FAR)]
     assert rows(read_info(spark, files["mixed"]), "skipped_unknown") == [(1,)]
 
@@ -166,13 +176,13 @@ def test_filters(spark, files):
     assert keys(select_entries(e, types="geo")) == {b"places", b"small_ints"} and keys(select_entries(e, types="geo", heuristics=frozenset())) == set()
     assert keys(select_entries(e, types="HLL, string")) == keys(e.where("type = 'string'")) == keys(read_entries(spark, files["mixed"], types="hll"))
     assert keys(select_entries(e, types="hll")) == {b"sketch", b"stale"}
-    assert keys(select_entries(e, key_pattern="my*")) == keys(read_entries(spark, files["mixed"], keyPattern="my*")) == {b"mystring", b"mylist", b"myset", b"myzset", b"myhash"}
-    assert keys(select_entries(e, key_pattern="!*_*")) == {b"mystring", b"mylist", b"myset", b"myzset", b"myhash", b"places", b"sketch", b"stale", b"mod", b"log", b"hfe", b"\xff\xfe"}
-    size = e.where(F.col("key") == b"mystring").select(C.estimated_bytes()).first()[0]
-    assert size == len("mystring") + len("hello world")
-    assert b"mystring" in keys(select_entries(e, max_entry_bytes=size)) and b"mystring" not in keys(select_entries(e, max_entry_bytes=size - 1))
+    assert keys(select_entries(e, key_pattern="tide_*")) == keys(read_entries(spark, files["mixed"], keyPattern="tide_*")) == {b"tide_note", b"tide_list", b"tide_set", b"tide_zset", b"tide_hash"}
+    assert keys(select_entries(e, key_pattern="!*_*")) == {b"ebb", b"places", b"sketch", b"stale", b"mod", b"log", b"hfe", b"\xff\xfe"}
+    size = e.where(F.col("key") == b"tide_note").select(C.estimated_bytes()).first()[0]
+    assert size == len("tide_note") + len("seven tides")
+    assert b"tide_note" in keys(select_entries(e, max_entry_bytes=size)) and b"tide_note" not in keys(select_entries(e, max_entry_bytes=size - 1))
     sizes = {bytes(r[0]): r[1] for r in e.select("key", C.estimated_bytes()).collect()}
-    assert sizes[b"mylist"] == 6 * 3 + 3 and sizes[b"places"] == 6 * 2 + 7 + 7 + 16 and sizes[b"mod"] == 3 * 5 + 4 * 8 + 1 and sizes[b"log"] == 3 * 5 + 4 + 5 + 3 + 2 + 4 + 3 + 3 + 2 and sizes[b"empty_list"] == 10
+    assert sizes[b"tide_list"] == 9 * 3 + 7 and sizes[b"places"] == 6 * 2 + 6 + 5 + 16 and sizes[b"mod"] == 3 * 5 + 4 * 8 + 1 and sizes[b"log"] == 3 * 5 + 5 + 5 + 5 + 2 + 5 + 5 + 5 + 2 and sizes[b"empty_list"] == 10
     assert list(tables(e, "geo")) == ["geo"] and list(tables(e, "zset")) == ["zset"]
 
 
@@ -265,7 +275,7 @@ def test_text_exports_are_hex(spark, files, tmp_path):
     api.export(spark, files["mixed"], str(tmp_path), "csv", types="string")
     api.export(spark, files["mixed"], str(tmp_path), "json", types="hash")
     lines = [x for p in sorted((tmp_path / "string.csv").glob("*.csv")) for x in p.read_text().splitlines()]
-    assert lines[0] == "db,key,type,expiry_ms,lru_idle_secs,lfu_frequency,encoding,num_elements,value" and any(f"0,{b'mystring'.hex()},string,,,,string,1,{b'hello world'.hex()}" == x for x in lines)
+    assert lines[0] == "db,key,type,expiry_ms,lru_idle_secs,lfu_frequency,encoding,num_elements,value" and any(f"0,{b'tide_note'.hex()},string,,,,string,1,{b'seven tides'.hex()}" == x for x in lines)
     docs = [json.loads(x) for p in (tmp_path / "hash.json").glob("*.json") for x in p.read_text().splitlines()]
     assert {"field": b"go".hex(), "field_value": b"2".hex(), "field_expiry_ms": FAR}.items() <= next(d for d in docs if d.get("field") == b"go".hex()).items()
     assert "field" not in next(d for d in docs if d["key"] == b"empty_hash".hex())  # nulls are left out
