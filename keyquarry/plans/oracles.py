@@ -50,13 +50,20 @@ WITH e AS (SELECT snap_id, db, decode(key) AS key, CAST(split_part(stream_id, '-
                   CASE WHEN contains(stream_id, '-') THEN CAST(split_part(stream_id, '-', 2) AS BIGINT) ELSE 0 END AS id_seq, file_id FROM kv_stream WHERE stream_id IS NOT NULL)
 SELECT snap_id, db, key, id_ms, id_seq FROM e GROUP BY ALL HAVING count(DISTINCT file_id) > 1""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5"),
     "p2_compacted": """
-WITH e AS (SELECT snap_id, db, decode(key) AS key, CAST(split_part(stream_id, '-', 1) AS BIGINT) AS id_ms,
-                  CASE WHEN contains(stream_id, '-') THEN CAST(split_part(stream_id, '-', 2) AS BIGINT) WHEN stream_id IS NOT NULL THEN 0 END AS id_seq,
-                  decode(field) AS field, hex(field_value) AS value_hex, file_id FROM kv_stream),
-f AS (SELECT snap_id, db, key, id_ms, id_seq, field, value_hex, file_id, count(*) AS n FROM e GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
-m AS (SELECT snap_id, db, key, id_ms, id_seq, field, value_hex, max(n) AS n FROM f GROUP BY 1, 2, 3, 4, 5, 6, 7)
-SELECT snap_id, db, key, id_ms, id_seq, field, value_hex FROM (SELECT *, unnest(range(n)) AS i FROM m)""",
-    "p2_files": "SELECT count(*) AS n_rows FROM kv_stream",
+WITH e AS (SELECT *, CAST(split_part(stream_id, '-', 1) AS BIGINT) AS id_ms,
+                  CASE WHEN contains(stream_id, '-') THEN CAST(split_part(stream_id, '-', 2) AS BIGINT) WHEN stream_id IS NOT NULL THEN 0 END AS id_seq FROM kv_stream),
+n AS (SELECT snap_id, db, key, id_ms, id_seq, field, field_value, file_id, count(*) AS n FROM e GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+m AS (SELECT snap_id, db, key, id_ms, id_seq, field, field_value, max(n) AS n FROM n GROUP BY 1, 2, 3, 4, 5, 6, 7),
+c AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY snap_id, db, key, id_ms, id_seq, field, field_value ORDER BY file_id NULLS FIRST, stream_id NULLS FIRST, type NULLS FIRST,
+      expiry_ms NULLS FIRST, lru_idle_secs NULLS FIRST, lfu_frequency NULLS FIRST, encoding NULLS FIRST, num_elements NULLS FIRST) = 1)
+SELECT snap_id, db, decode(key) AS key, id_ms, id_seq, stream_id, decode(field) AS field, hex(field_value) AS value_hex, file_id, type, expiry_ms, lru_idle_secs, CAST(lfu_frequency AS BIGINT) AS lfu_frequency, encoding, num_elements
+FROM (SELECT c.*, unnest(range(m.n)) AS i FROM c JOIN m ON c.snap_id IS NOT DISTINCT FROM m.snap_id AND c.db IS NOT DISTINCT FROM m.db AND c.key IS NOT DISTINCT FROM m.key AND c.id_ms IS NOT DISTINCT FROM m.id_ms
+      AND c.id_seq IS NOT DISTINCT FROM m.id_seq AND c.field IS NOT DISTINCT FROM m.field AND c.field_value IS NOT DISTINCT FROM m.field_value)""",
+    "p2_joined": """
+SELECT snap_id, db, decode(key) AS key, type, expiry_ms, lru_idle_secs, CAST(lfu_frequency AS BIGINT) AS lfu_frequency, encoding, num_elements, stream_id, decode(field) AS field, hex(field_value) AS value_hex, file_id FROM kv_stream""",
+    "p2_report": """
+WITH f AS (SELECT file_id FROM kv_stream UNION SELECT file_id FROM stream_file)
+SELECT (SELECT count(*) FROM f) AS n_files, (SELECT count(*) FROM f) AS n_blocks, (SELECT count(*) FROM kv_stream) AS n_rows, true AS few_groups, true AS few_files""",
     "p5_found": f"""
 WITH {SNAPSHOTS},
 held AS (SELECT DISTINCT node_id, ord, db, key, field, value, expiry_ms FROM kv_hash JOIN idx USING (snap_id) WHERE field IS NOT NULL),

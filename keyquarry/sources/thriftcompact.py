@@ -7,6 +7,7 @@ from __future__ import annotations
 
 # Type codes of the compact protocol.
 TRUE, FALSE, BYTE, I16, I32, I64, DOUBLE, BINARY, LIST, SET, MAP, STRUCT = range(1, 13)
+WHOLE = (I16, I32, I64)
 
 
 class Reader:
@@ -14,12 +15,14 @@ class Reader:
         self.data, self.at = data, 0
 
     def uvarint(self) -> int:
+        data, at = self.data, self.at
         out = shift = 0
         while True:
-            b = self.data[self.at]
-            self.at += 1
+            b = data[at]
+            at += 1
             out |= (b & 0x7F) << shift
             if b < 0x80:
+                self.at = at
                 return out
             shift += 7
 
@@ -36,14 +39,16 @@ class Reader:
     def value(self, kind: int):
         if kind in (TRUE, FALSE):  # within a list; in a struct the type is the value
             return self.take(1) == b"\x01"
+        if kind in WHOLE:
+            return self.varint()
+        if kind == BINARY:
+            return self.take(self.uvarint())
+        if kind == STRUCT:
+            return self.struct()
         if kind == BYTE:
             return self.take(1)
-        if kind in (I16, I32, I64):
-            return self.varint()
         if kind == DOUBLE:
             return self.take(8)
-        if kind == BINARY:
-            return self.take(self.uvarint())
         if kind in (LIST, SET):
             head = self.take(1)[0]
             n, element = head >> 4, head & 15
@@ -56,19 +61,31 @@ class Reader:
                 return 0, 0, []
             kinds = self.take(1)[0]
             return kinds >> 4, kinds & 15, [(self.value(kinds >> 4), self.value(kinds & 15)) for _ in range(n)]
-        if kind == STRUCT:
-            return self.struct()
         raise ValueError(f"unknown type {kind} in a footer")
 
-    def struct(self) -> dict:
-        out, last = {}, 0
+    def struct(self, last: int = 0) -> dict:
+        """Fields until the stop mark; those up to `last` lie before."""
+        out, data = {}, self.data
         while True:
-            head = self.take(1)[0]
+            at = self.at
+            if at >= len(data):
+                raise ValueError("footer ends early")
+            head = data[at]
+            self.at = at + 1
             if head == 0:
                 return out
             kind = head & 15
             last = last + (head >> 4) if head >> 4 else self.varint()
-            out[last] = (kind, kind == TRUE if kind in (TRUE, FALSE) else self.value(kind))
+            if kind in WHOLE and self.at < len(data) and data[self.at] < 0x80:  # most numbers: one byte, zigzag
+                n = data[self.at]
+                self.at += 1
+                out[last] = (kind, (n >> 1) ^ -(n & 1))
+            elif kind == STRUCT:
+                out[last] = (kind, self.struct())
+            elif kind <= FALSE:
+                out[last] = (kind, kind == TRUE)
+            else:
+                out[last] = (kind, self.value(kind))
 
 
 def _uvarint(n: int) -> bytes:

@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import decimal
 import os
 import random
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyquarry.operators import compaction, history, skewstats, snapdiff, snapshots, widetable
 from keyquarry.runtime import shared_dir
-from keyquarry.sources import parquetblocks
+from keyquarry.sources import parquetblocks, parquetpages
 
 T0 = datetime.datetime(2024, 1, 1)
 FILES = "snap_id bigint, node_id bigint, taken_at timestamp, complete boolean, ord string, __snap string"
@@ -226,25 +227,91 @@ def tiny_files(folder, n, rows=lambda i: i % 4, **kw):
         pq.write_table(t, f"{folder}/f{i:04d}.parquet", **kw)
 
 
+local = lambda r: r["out_path"].removeprefix("file:").removeprefix("//")
+
+
 def test_blocks_are_copied(spark, tmp_path):
+    """With small_bytes 0 every row group is copied as it is."""
     folder = str(tmp_path / "in")
     tiny_files(folder, 60, compression="snappy")
     tiny_files(f"{folder}/more", 5, lambda i: 900, compression="zstd", row_group_size=100, use_dictionary=False, write_page_index=True, write_statistics=True)
     before = sorted(spark.read.option("recursiveFileLookup", "true").parquet(folder).collect(), key=repr)
-    out, report = compaction.compact_files(spark, folder, target_bytes=40_000)
+    out, report = compaction.compact_files(spark, folder, target_bytes=40_000, small_bytes=0)
     got = report.collect()
     assert sum(r["n_files"] for r in got) == 65 and sum(r["n_rows"] for r in got) == len(before) and 1 < len(got) < 65
-    assert sum(r["n_blocks"] for r in got) == sum(pq.ParquetFile(f).num_row_groups for f in (tmp_path / "in").rglob("*.parquet"))
+    blocks = sum(pq.ParquetFile(f).num_row_groups for f in (tmp_path / "in").rglob("*.parquet"))
+    assert sum(r["n_blocks"] for r in got) == sum(r["n_groups"] for r in got) == blocks
     assert sorted(spark.read.parquet(out).collect(), key=repr) == before
-    local = lambda r: r["out_path"].removeprefix("file:").removeprefix("//")
-    tables = [pq.read_table(local(r)) for r in got]
-    assert sum(t.num_rows for t in tables) == len(before)
+    assert sum(pq.read_table(local(r)).num_rows for r in got) == len(before)
     assert spark.read.parquet(out).where("id = 21").count() == spark.read.option("recursiveFileLookup", "true").parquet(folder).where("id = 21").count()
     # statistics still serve filters
     meta = pq.ParquetFile(local(got[0])).metadata
     assert all(meta.row_group(i).column(0).is_stats_set for i in range(meta.num_row_groups) if meta.row_group(i).num_rows)
 
 
+KINDS = {"i": pa.int32(), "u": pa.uint64(), "f": pa.float32(), "d": pa.float64(), "b": pa.bool_(), "s": pa.string(), "y": pa.binary(), "x": pa.binary(5), "t": pa.timestamp("us"), "m": pa.decimal128(20, 3), "l": pa.list_(pa.string()), "n": pa.struct([("a", pa.int64()), ("l", pa.list_(pa.list_(pa.bool_())))])}
+
+
+def any_value(rnd, kind):
+    return {"i": lambda: rnd.choice([-5, 7, 2**31 - 1]), "u": lambda: rnd.choice([0, 2**64 - 1, 9]), "f": lambda: rnd.choice([0.5, -1.25]), "d": lambda: rnd.choice([1e300, -2.5, 0.0]), "b": lambda: rnd.random() < 0.5, "s": lambda: rnd.choice(["", "é", "text", "z" * 300, str(rnd.random())]), "y": lambda: rnd.choice([b"", b"\xff", rnd.randbytes(9)]),
+            "x": lambda: rnd.randbytes(5), "t": lambda: T0 + datetime.timedelta(seconds=rnd.randint(0, 9)), "m": lambda: decimal.Decimal(rnd.randint(-99, 99)) / 8, "l": lambda: [rnd.choice([None, "p", "q"]) for _ in range(rnd.randint(0, 3))], "n": lambda: {"a": rnd.choice([None, 3]), "l": rnd.choice([None, [], [[True, None], []], [None]])}}[kind]()
+
+
+WRITERS = [dict(), dict(compression="zstd", data_page_version="2.0"), dict(compression="none", use_dictionary=False), dict(compression="gzip", use_dictionary=["s", "i"]), dict(compression="snappy", use_dictionary=False, column_encoding={"i": "DELTA_BINARY_PACKED", "s": "DELTA_BYTE_ARRAY", "d": "BYTE_STREAM_SPLIT"}), dict(compression="lz4", data_page_size=100, write_batch_size=7)]
+
+
+@pytest.mark.parametrize("n_writer", range(len(WRITERS)))
+@pytest.mark.parametrize("page", [20_000, 50])
+def test_small_groups_are_merged(tmp_path, monkeypatch, n_writer, page):
+    """Every type, level and encoding; the tables are the same, in order, and statistics hold."""
+    monkeypatch.setattr(parquetpages, "PAGE_VALUES", page)
+    if page == 50:
+        monkeypatch.setattr(parquetpages, "DICTIONARY_BYTES", 400)
+    rnd, paths, tables = random.Random(n_writer), [], []
+    for i in range(40):
+        n = rnd.choice([0, 1, 2, 5, 9, 60])
+        absent = rnd.choice([0, 0.3, 1])
+        t = pa.table({k: pa.array([None if rnd.random() < absent else any_value(rnd, k) for _ in range(n)], t) for k, t in KINDS.items()})
+        paths.append(str(tmp_path / f"{i:03d}.parquet"))
+        pq.write_table(t, paths[-1], **WRITERS[n_writer])
+        tables.append(t)
+    want = pa.concat_tables(tables)
+    out = str(tmp_path / "out.parquet")
+    blocks, groups, rows, size = parquetblocks.join_files(paths, out)
+    f = pq.ParquetFile(out)
+    assert (blocks, groups, rows, size) == (sum(pq.ParquetFile(p).num_row_groups for p in paths), 1, want.num_rows, os.path.getsize(out)) and f.num_row_groups == 1
+    assert f.read().equals(want)
+    meta = f.metadata.row_group(0)
+    for k, c in (("i", 0), ("u", 1), ("s", 5)):
+        s, vs = meta.column(c).statistics, [v for v in want[k].to_pylist() if v is not None]
+        assert s.null_count == want[k].null_count and (not s.has_min_max or (s.min, s.max) == (min(vs, key=lambda v: v.encode() if k == "s" else v), max(vs, key=lambda v: v.encode() if k == "s" else v)))
+    again = str(tmp_path / "again.parquet")
+    assert parquetblocks.join_files([out, *paths[:3]], again)[2] == want.num_rows + sum(t.num_rows for t in tables[:3])
+    assert pq.read_table(again).equals(pa.concat_tables([want, *tables[:3]]))
+
+
+def test_mixed_sizes_and_codecs(spark, tmp_path):
+    """Large groups are copied, small ones of one codec merged."""
+    folder = str(tmp_path / "in")
+    tiny_files(folder, 40, lambda i: 3, compression="snappy")
+    tiny_files(f"{folder}/b", 1, lambda i: 5000, compression="snappy")
+    tiny_files(f"{folder}/c", 2, lambda i: 4, compression="zstd")
+    out, report = compaction.compact_files(spark, folder, small_bytes=10_000)
+    (r,) = report.collect()
+    assert (r["n_files"], r["n_blocks"], r["n_groups"], r["n_rows"]) == (43, 43, 3, 40 * 3 + 5000 + 8)
+    assert sorted(spark.read.parquet(out).collect(), key=repr) == sorted(spark.read.option("recursiveFileLookup", "true").parquet(folder).collect(), key=repr)
+
+
+def test_rounds(spark, tmp_path):
+    """More files than one task joins, and files without rows."""
+    folder = str(tmp_path / "in")
+    tiny_files(folder, 50, lambda i: i % 3)
+    pq.write_table(pa.table({"other": pa.array([1])}), f"{folder}/other.parquet")
+    out, report = compaction.compact_files(spark, folder, files_per_bin=4)
+    assert sorted((r["n_files"], r["n_rows"], r["n_groups"]) for r in report.collect()) == [(1, 1, 1), (50, sum(i % 3 for i in range(50)), 1)]
+    assert spark.read.parquet(out).where("id is not null").count() == sum(i % 3 for i in range(50))
+
+
 def test_schemas_stay_apart(spark, tmp_path):
     folder = str(tmp_path / "in")
     tiny_files(folder, 6)
