@@ -138,7 +138,7 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = snapdiff.consecutive_changes(table(spark, sf_dir, "kv_string"), table(spark, sf_dir, "snapshot_file"))
+    changes, _ = snapdiff.consecutive_changes(table(spark, sf_dir, "kv_string"), table(spark, sf_dir, "snapshot_file"))
     return changes.select(long("node_id"), long("snap_id"), long("previous_snap_id"), long("db"), text("key"), "change_kind")
 
 

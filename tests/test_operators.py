@@ -158,28 +158,47 @@ def brute_changes(rows, order):
     return out
 
 
-def test_changes(spark):
+def test_changes(spark, tmp_path):
     files, order, last = files_of(spark, 3, 8, 4)
     rnd = random.Random(4)
     long = b"x" * 50
     rows = [(s, rnd.choice([0, 0, 0, 1, None]), rnd.choice([b"k%d" % k, None]) if k < 2 else b"k%d" % k, rnd.choice([b"v"] * 8 + [b"w", b"", None, long, long + b"y"]), rnd.choice([None] * 8 + [5])) for s in range(1, last + 1) if s % 7 for k in range(200) if rnd.random() < 0.8]
     rows += rnd.sample(rows, 300) + [(1, 0, b"hot", b"v", None)] * 2000
     df = spark.createDataFrame(rows, "snap_id bigint, db bigint, key binary, value binary, expiry_ms bigint").withColumn("ordinal", F.lit("clash")).withColumn("node_id", F.lit(9))
-    change = lambda **kw: [(r["node_id"], r["snap_id"], r["previous_snap_id"], r["db"], None if r["key"] is None else bytes(r["key"]), r["change_kind"]) for r in snapdiff.consecutive_changes(df, files, **kw).collect()]
+    change = lambda **kw: [(r["node_id"], r["snap_id"], r["previous_snap_id"], r["db"], None if r["key"] is None else bytes(r["key"]), r["change_kind"]) for r in snapdiff.consecutive_changes(df, files, **kw)[0].collect()]
     got, want = change(), brute_changes(rows, order)
     assert len(got) == len(set(got)) and set(got) == want and {w[-1] for w in want} == {"added", "removed", "changed"}
-    nodes = [(n, 0, b"k%d" % k, 1000 + 7 * k + n) for n in range(3) for k in range(0, 200, 3)]
-    known = spark.createDataFrame(nodes, "__node bigint, __k0 bigint, __k1 binary, ordinal bigint")
-    assert set(change(known=known)) == want
-    assert snapdiff.consecutive_changes(df.limit(0), files).collect() == [] and snapdiff.consecutive_changes(df, files.limit(0)).collect() == []
-
-
-def test_ordinals_persist(spark):
-    keys = spark.createDataFrame([(i, None if i == 0 else b"k%d" % i) for i in range(100)], "db int, key binary")
-    first = snapdiff.key_ordinals(keys.where("db < 60"), ["db", "key"])
-    second = snapdiff.key_ordinals(keys.withColumn("more", F.lit(1)), ["db", "key"], first)
-    a, b = ({r["db"]: r["ordinal"] for r in x.collect()} for x in (first, second))
-    assert all(b[k] == v for k, v in a.items()) and len(set(b.values())) == 100 and min(v for k, v in b.items() if k >= 60) > max(a.values())
+    assert snapdiff.consecutive_changes(df.limit(0), files)[0].collect() == [] and snapdiff.consecutive_changes(df, files.limit(0))[0].collect() == []
+    # A later run on the dictionary of one over some of the keys: those keep their ordinals.
+    path = str(tmp_path / "ordinals")
+    _, given = snapdiff.consecutive_changes(df.where("key < 'k3'"), files, dictionary=path)
+    ordinals = lambda: {(r["node_id"], r["db"], None if r["key"] is None else bytes(r["key"])): r["ordinal"] for r in spark.read.parquet(path).collect()}
+    first = ordinals()
+    assert given == path and set(change(dictionary=path)) == want
+    second = ordinals()
+    assert first and len(second) > len(first) and first.items() <= second.items() and len(set(second.values())) == len(second)
+    assert set(change(dictionary=path)) == want and ordinals() == second
+    with pytest.raises(ValueError):
+        snapdiff.consecutive_changes(df.withColumn("ordinal", F.lit(1)), files, ["db", "ordinal"], dictionary=path)
+    with pytest.raises(ValueError):
+        snapdiff.consecutive_changes(df, files, ["key"], dictionary=path)
+
+
+def test_several_payloads_of_a_key(spark):
+    """A hot key with very many payloads in a snapshot; sets of payloads are compared whole."""
+    files = spark.createDataFrame([(s, 1, T0 + datetime.timedelta(days=s), True, "o", "s") for s in range(1, 5)], FILES)
+    hot = spark.range(3000).select((F.col("id") % 4 + 1).alias("snap_id"), F.lit(0).cast("bigint").alias("db"), F.lit(b"hot").alias("key"), F.when(F.col("id") % 4 < 2, (F.col("id") / 4).cast("int")).otherwise((F.col("id") / 8).cast("int")).cast("string").cast("binary").alias("value"), F.lit(None).cast("bigint").alias("expiry_ms"))
+    got = sorted((r["snap_id"], r["change_kind"]) for r in snapdiff.consecutive_changes(hot.unionByName(hot), files)[0].collect())
+    assert got == [(3, "changed")]  # 1 and 2 hold the same 750 payloads, 3 and 4 the same half of them
+
+
+def test_words_of_many_snapshots(spark):
+    """A word whose keys all go, and one that comes back after a gap."""
+    files = spark.createDataFrame([(s, 1, T0 + datetime.timedelta(days=s), True, "o", "s") for s in range(1, 8)], FILES)
+    rows = [(s, 0, b"k%d" % k, b"v%d" % (s > 5), None) for k in range(130) for s in ((1, 2, 6, 7) if k < 64 else (3,) if k < 129 else range(1, 8))]
+    df = spark.createDataFrame(rows, "snap_id bigint, db bigint, key binary, value binary, expiry_ms bigint")
+    got = [(r["node_id"], r["snap_id"], r["previous_snap_id"], r["db"], bytes(r["key"]), r["change_kind"]) for r in snapdiff.consecutive_changes(df, files)[0].collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_changes(rows, {1: list(range(1, 8))})
 
 
 # Weighted values
