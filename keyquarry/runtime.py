@@ -8,14 +8,15 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-#: A side with at most this many rows may be broadcast; the rows are counted first.
-BROADCAST_ROWS = 100_000
+#: A side of at most this many rows and bytes may be broadcast; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 _shipped: set[str] = set()
 _local_dirs: dict[str, str] = {}
@@ -81,24 +82,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; reads no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: text and bytes by their length, all else 8 or, nested, the length as JSON."""
+    sizes = [F.lit(16 * len(df.columns) + 1)]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("c")))), F.lit(0)))
+    return reduce(lambda a, b: a + b, (s.cast("bigint") for s in sizes))
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small, else df as it is, for a shuffled join with AQE's skew split."""
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df has at most `rows` rows (BROADCAST_ROWS) and BROADCAST_BYTES; reads no more than rows + 1 of them."""
+    most = BROADCAST_ROWS if rows is None else rows
+    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return n <= most and (size or 0) <= BROADCAST_BYTES
+
+
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is found to be small, else df as it is, for a shuffled join with AQE's skew split."""
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def small_table(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df evaluated once, for what several joins use: with at most `rows` rows a local relation with a broadcast hint,
-    else a written table without one."""
-    found = df.limit(rows + 1).toArrow()
-    return F.broadcast(local_table(df.sparkSession, found, df.schema)) if found.num_rows <= rows else materialize(df, "small")
+def small_table(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df evaluated once, for what several joins use: with a broadcast hint if it is small. It is written to the shared
+    folder; only a small one comes to the driver, when it is broadcast."""
+    written = materialize(df, "small")
+    return small_side(written, rows)
 
 
-def local_table(spark: SparkSession, rows: pa.Table, schema: StructType | str) -> DataFrame:
+def local_table(spark: SparkSession, rows: pa.Table, schema: T.StructType | str) -> DataFrame:
     """Rows as part of the plan, of a size that Spark knows."""
     return spark.createDataFrame(rows, schema)
 
@@ -120,6 +135,6 @@ def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{c}" for c in names])
 
 
-def utf8(column) -> F.Column:
+def utf8(column) -> Column:
     """Text of a binary column; bytes that aren't UTF-8 become U+FFFD."""
     return F.make_valid_utf8(column.cast("string"))
