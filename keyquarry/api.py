@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .codec.errors import SnapshotError, Truncated, Unreadable, from_message
-from .functions.schemas import parse_heuristics, parse_types
+from .functions.schemas import TYPES, arrow_schema, parse_heuristics, parse_types
 from .operators import summary
-from .operators.tables import read_entries, read_info, select_entries, tables
+from .operators.tables import PART_BYTES, read_entries, read_info, select_entries, table, tables
 from .sources import sinks
 
 
@@ -44,58 +45,80 @@ def told():
         raise kind(str(known)) from None
 
 
-def entries(spark: SparkSession, path: str, max_key_elements: int | None = None, chunking: bool = True, verify_crc: bool = True, db: int | None = None, types: str | None = None, key_pattern: str | None = None, batch_rows: int | None = None, batch_bytes: int | None = None) -> DataFrame:
-    """Entries of snapshots. db, types and key_pattern skip other values undecoded."""
+def entries(spark: SparkSession, path: str, max_key_elements: int | None = None, chunking: bool = True, verify_crc: bool = True, db: int | None = None, types: str | None = None, key_pattern: str | None = None, batch_rows: int | None = None, batch_bytes: int | None = None, part_bytes: int | None = PART_BYTES, shallow: bool = False) -> DataFrame:
+    """Entries of snapshots. db, types and key_pattern skip other values undecoded; shallow skips those that decide no
+    type. Snapshots of more than part_bytes are read in parts (0 or None: each by one task)."""
     for name, n in (("max_key_elements", max_key_elements), ("batch_rows", batch_rows), ("batch_bytes", batch_bytes)):
         if n is not None and n < 1:
             raise ValueError(f"{name} must be 1 or more")
     with told():
-        return read_entries(spark, path, maxKeyElements=max_key_elements, chunking=chunking, verifyCrc=verify_crc, db=db, types=types, keyPattern=key_pattern, batchRows=batch_rows, batchBytes=batch_bytes)
+        return read_entries(spark, path, part_bytes, maxKeyElements=max_key_elements, chunking=chunking, verifyCrc=verify_crc, db=db, types=types, keyPattern=key_pattern, batchRows=batch_rows, batchBytes=batch_bytes, shallow=shallow)
 
 
-def read(spark: SparkSession, path: str, heuristic: str = "all", max_entry_bytes: int | None = None, **options) -> dict[str, DataFrame]:
-    """The tables that occur in a snapshot, by type."""
-    known = parse_heuristics(heuristic)
-    rows = select_entries(entries(spark, path, **options), max_entry_bytes=max_entry_bytes, heuristics=known)
+def read(spark: SparkSession, path: str, heuristic: str = "all", max_entry_bytes: int | None = None, types: str | None = None, **options) -> dict[str, DataFrame]:
+    """The tables that occur in a snapshot, by type.
+
+    Which do is found in a pass that decodes only what decides on types (all, if there is a limit of size); each table
+    then decodes the values of its own type, and no others.
+    """
+    known, chosen = parse_heuristics(heuristic), parse_types(types)
+    first = entries(spark, path, types=types, shallow=max_entry_bytes is None, **options)
     with told():
-        seen = {r["type"] for r in summary.type_counts(rows, known).collect()}
-    return tables(rows, seen, known)
+        seen = {r["type"] for r in summary.type_counts(select_entries(first, max_entry_bytes=max_entry_bytes, heuristics=known), known).collect()}
+    out = {}
+    for kind in TYPES:
+        if kind in seen and (chosen is None or kind in chosen):
+            mine = select_entries(entries(spark, path, types=kind, **options), max_entry_bytes=max_entry_bytes, heuristics=known)
+            out[kind] = table(mine, kind, known)
+    return out
+
+
+def read_batches(spark: SparkSession, path: str, heuristic: str = "all", max_entry_bytes: int | None = None, types: str | None = None, **options) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """(type, Arrow batch in the export's types) one after the other; the driver holds one partition's batches at a time.
+    The snapshot is decoded once and kept on executors' disks until the last batch is taken."""
+    known, chosen = parse_heuristics(heuristic), parse_types(types)
 
+    def pack(kind: str):
+        schema = arrow_schema(kind)
 
-def read_batches(spark: SparkSession, path: str, heuristic: str = "all", **options) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """(type, Arrow batch) one after the other; the driver holds one partition's batches at a time."""
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, schema) as w:
+                        w.write_batch(sinks.exported(b, schema))
+                    yield pa.RecordBatch.from_pydict({"b": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema) as w:
-                    w.write_batch(b)
-                yield pa.RecordBatch.from_pydict({"b": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        return packed
 
-    for kind, df in read(spark, path, heuristic, **options).items():
-        with told():
-            for row in df.mapInArrow(pack, "b binary").toLocalIterator():
-                with pa.ipc.open_stream(bytes(row["b"])) as r:
-                    for batch in r:
-                        yield kind, batch
+    kept = select_entries(entries(spark, path, types=types, **options), max_entry_bytes=max_entry_bytes, heuristics=known).persist(StorageLevel.DISK_ONLY)
+    try:
+        for kind, df in tables(kept, chosen, known).items():
+            with told():
+                for row in df.mapInArrow(pack(kind), "b binary").toLocalIterator():
+                    with pa.ipc.open_stream(bytes(row["b"])) as r:
+                        for batch in r:
+                            yield kind, batch
+    finally:
+        kept.unpersist()
 
 
-def to_parquet(spark: SparkSession, path: str, out: str, compression: str = "zstd", row_group_size: int | None = None, heuristic: str = "all", max_entry_bytes: int | None = None, **options) -> dict[str, int]:
+def to_parquet(spark: SparkSession, path: str, out: str, compression: str = "zstd", row_group_size: int | None = None, heuristic: str = "all", max_entry_bytes: int | None = None, **options) -> sinks.Exported:
     """Export a snapshot to Parquet; returns the rows written by type."""
     return export(spark, path, out, "parquet", compression=compression, row_group_size=row_group_size, heuristic=heuristic, max_entry_bytes=max_entry_bytes, **options)
 
 
-def export(spark: SparkSession, path: str, out: str, form: str = "parquet", compression: str = "zstd", row_group_size: int | None = None, heuristic: str = "all", max_entry_bytes: int | None = None, db: int | None = None, types: str | None = None, key_pattern: str | None = None, shard: str | None = None, **options) -> dict[str, int]:
+def export(spark: SparkSession, path: str, out: str, form: str = "parquet", compression: str = "zstd", row_group_size: int | None = None, heuristic: str = "all", max_entry_bytes: int | None = None, db: int | None = None, types: str | None = None, key_pattern: str | None = None, shard: str | None = None, **options) -> sinks.Exported:
+    """Export snapshots; returns the rows written by type, with what was left out in `skipped`."""
     if row_group_size is not None and row_group_size < 1:
         raise ValueError("row_group_size must be 1 or more")
     sinks.parse_compression(compression)
     known, chosen = parse_heuristics(heuristic), parse_types(types)
     with told():
-        aux = read_info(spark, path, drain=False).orderBy("file").select("aux").first()[0]
+        head = read_info(spark, path, verifyCrc=options.get("verify_crc")).orderBy("file").select("file", "aux", "skipped_unknown").collect()  # a row per file
         found = entries(spark, path, db=db, types=types, key_pattern=key_pattern, **options)
-        found = select_entries(found, db, chosen, key_pattern, max_entry_bytes, known)
-        return sinks.export(found, out, form, chosen, known, compression, row_group_size, shard, aux)
+        found = select_entries(found, db, chosen, key_pattern, None, known)
+        return sinks.export(found, out, form, chosen, known, compression, row_group_size, shard, {r["file"]: r["aux"] for r in head}, max_entry_bytes, sum(r["skipped_unknown"] for r in head))
 
 
 def inspect(spark: SparkSession, path: str, heuristic: str = "all", **options) -> dict:
@@ -105,8 +128,6 @@ def inspect(spark: SparkSession, path: str, heuristic: str = "all", **options) -
 
 def validate(spark: SparkSession, path: str, folder: str) -> list[dict]:
     """Types with keys, rows of both sides and status, in the types' order."""
-    from .functions.schemas import TYPES
-
     with told():
         rows = {r["type"]: r.asDict() for r in summary.validate(spark, path, folder).collect()}
     return [rows[t] for t in TYPES if t in rows]

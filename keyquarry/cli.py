@@ -10,12 +10,16 @@ import os
 import re
 import shutil
 import sys
-import tempfile
+import uuid
+from contextlib import contextmanager
 
 from .api import SnapshotIOError, SnapshotUnreadableError, SnapshotValueError
 from .codec.names import DEFAULT_CHUNK
 from .functions.schemas import TYPES, describe, parse_heuristics, parse_types
+from .operators.tables import PART_BYTES
+from .runtime import shared_dir
 from .sources import sinks
+from .sources.parquetblocks import open_fs
 
 USAGE, IO, CORRUPT, VALIDATION, OTHER = 2, 3, 4, 5, 1
 
@@ -67,7 +71,8 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--type", dest="types", type=checked(parse_types))
     e.add_argument("--key-pattern")
     e.add_argument("--batch-size", type=positive)
-    e.add_argument("--row-group-size", type=positive, help="rows; written by pyarrow instead of Spark's writer")
+    e.add_argument("--row-group-size", type=positive, help="rows of a Parquet row group")
+    e.add_argument("--part-bytes", type=byte_size, default=PART_BYTES, help="larger snapshots are read in parts of so many bytes")
     e.add_argument("--shard-id", type=shard_name)
     chunks = e.add_mutually_exclusive_group()
     chunks.add_argument("--max-key-elements", type=positive, default=DEFAULT_CHUNK)
@@ -84,14 +89,22 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def spooled(file: str) -> str:
-    """Standard input as a file, as executors can't read it; local mode, or a TMPDIR that executors share."""
+@contextmanager
+def spooled(spark, file: str):
+    """The file, or standard input as one in the shared folder, as executors can't read it otherwise; deleted after use."""
     if file != "-":
-        return file
-    fd, path = tempfile.mkstemp(suffix=".rdb")
-    with os.fdopen(fd, "wb") as f:
-        shutil.copyfileobj(sys.stdin.buffer, f)
-    return path
+        yield file
+        return
+    filesystem, folder = open_fs(shared_dir(spark))
+    path = f"{folder}/stdin-{uuid.uuid4().hex}.rdb"
+    filesystem.create_dir(folder, recursive=True)
+    try:
+        with filesystem.open_output_stream(path) as f:
+            shutil.copyfileobj(sys.stdin.buffer, f)
+        yield f"{shared_dir(spark)}/{path.rpartition('/')[2]}"
+    finally:
+        if filesystem.get_file_info(path).type.name == "File":
+            filesystem.delete_file(path)
 
 
 def session():
@@ -107,13 +120,18 @@ def run_export(a) -> int:
     old = sinks.existing(out, a.format)
     if old:
         print(f"warning: {out} already holds {', '.join(old)}", file=sys.stderr)
-    written = api.export(
-        session(), spooled(a.file), os.path.abspath(out) if "://" not in out else out, a.format, compression=a.compression, row_group_size=a.row_group_size, heuristic=a.heuristic,
-        max_entry_bytes=a.max_entry_bytes, db=a.db, types=a.types, key_pattern=a.key_pattern, shard=a.shard_id, max_key_elements=a.max_key_elements, chunking=not a.no_chunking,
-        batch_rows=a.batch_size, batch_bytes=a.batch_bytes,
-    )
+    spark = session()
+    with spooled(spark, a.file) as file:
+        written = api.export(
+            spark, file, os.path.abspath(out) if "://" not in out else out, a.format, compression=a.compression, row_group_size=a.row_group_size, heuristic=a.heuristic,
+            max_entry_bytes=a.max_entry_bytes, db=a.db, types=a.types, key_pattern=a.key_pattern, shard=a.shard_id, max_key_elements=a.max_key_elements, chunking=not a.no_chunking,
+            batch_rows=a.batch_size, batch_bytes=a.batch_bytes, part_bytes=a.part_bytes,
+        )
     for kind, rows in written.items():
         print(f"{kind}: {rows:,} rows", file=sys.stderr)
+    for why, n in written.skipped.items():
+        if n:
+            print(f"warning: {n:,} values skipped: {why.replace('_', ' ')}", file=sys.stderr)
     return 0
 
 

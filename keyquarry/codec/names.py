@@ -17,6 +17,9 @@ TYPES = {
 #: Codes whose value is counted element by element, so that long values come in chunks.
 PLAIN = frozenset({LIST, SET, ZSET, HASH, ZSET_2, HASH_2})
 
+#: Types that no value decides on: of the others a sketch may be a string, and positions may be a sorted set.
+SHALLOW = frozenset({"list", "set", "hash", "module", "stream"})
+
 # Opcodes, from the highest down.
 OP_EOF, OP_SELECTDB, OP_EXPIRETIME, OP_EXPIRETIME_MS, OP_RESIZEDB, OP_AUX, OP_FREQ, OP_IDLE, OP_MODULE_AUX, OP_FUNCTION_PRE_GA, OP_FUNCTION2, OP_SLOT_INFO, OP_SLOT_IMPORT = range(255, 242, -1)
 

@@ -230,13 +230,14 @@ def read_module_values(source: Source, keep: bool) -> list[tuple[str, int | None
 
 
 class SnapshotReader:
-    """Entries of one snapshot, in order. `wanted(db, key, code)` decides before a value is decoded whether it is."""
+    """Entries of one snapshot, in order. `wanted(db, key, code)` decides before a value is decoded whether it is. With
+    shallow, values that decide no type (all but those of strings and sorted sets) are passed over, their entries aren't."""
 
-    def __init__(self, raw, max_key_elements: int | None = N.DEFAULT_CHUNK, verify_crc: bool = True, wanted: Callable[[int, bytes, int], bool] | None = None):
+    def __init__(self, raw, max_key_elements: int | None = N.DEFAULT_CHUNK, verify_crc: bool = True, wanted: Callable[[int, bytes, int], bool] | None = None, shallow: bool = False):
         if max_key_elements is not None and max_key_elements < 1:
             raise ValueError("max_key_elements must be 1 or more")
         self.source = Source(raw, verify_crc)
-        self.verify, self.chunk, self.wanted = verify_crc, max_key_elements, wanted
+        self.verify, self.chunk, self.wanted, self.shallow = verify_crc, max_key_elements, wanted, shallow
         self.crc_checked = False
         self.skipped_unknown = 0
         self.db, self.end = 0, None
@@ -247,11 +248,11 @@ class SnapshotReader:
         self._ahead = b
 
     @classmethod
-    def of_part(cls, raw, start: int, end: int, db: int, max_key_elements: int | None = N.DEFAULT_CHUNK, wanted: Callable[[int, bytes, int], bool] | None = None) -> SnapshotReader:
+    def of_part(cls, raw, start: int, end: int, db: int, max_key_elements: int | None = N.DEFAULT_CHUNK, wanted: Callable[[int, bytes, int], bool] | None = None, shallow: bool = False) -> SnapshotReader:
         """A reader of the bytes from start to end, which parts() gave; raw stands at start."""
         self = cls.__new__(cls)
         self.source = Source(raw, False, start)
-        self.verify, self.chunk, self.wanted = False, max_key_elements, wanted
+        self.verify, self.chunk, self.wanted, self.shallow = False, max_key_elements, wanted, shallow
         self.crc_checked, self.skipped_unknown = False, 0
         self.db, self.end = db, end
         self.header, self._ahead = Header("", 0), None
@@ -317,6 +318,10 @@ class SnapshotReader:
                     if cuts is not None and s.position - cuts[-1][0] >= self._cut_size:
                         cuts.append((s.position, db))
                     continue
+                if self.shallow and N.TYPES[op][0] in N.SHALLOW and op != N.HASH_ZIPMAP:
+                    self._skip(op)
+                    yield Entry(db, key, op, *now, None)
+                    continue
                 if op in N.PLAIN:
                     yield from self._chunks(db, key, op, *now)
                     continue

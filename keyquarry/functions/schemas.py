@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import types as T
 
 #: Logical types in their order; geo and hyperloglog are derived.
@@ -99,16 +100,21 @@ def format_heuristics(names: frozenset[str]) -> str:
     return ",".join(h for h in HEURISTICS if h in names) or "none"
 
 
-#: How a column's type is called in a printed schema: the Arrow types of an export.
-PRINTED = {T.LongType: "Int64", T.BinaryType: "Binary", T.StringType: "Utf8", T.DecimalType: "UInt64", T.ShortType: "UInt8", T.DoubleType: "Float64"}
-#: Columns that fit 32 bits without sign.
+#: Columns of unsigned 32 bits in exports; Spark has no such type.
 SMALL = {"db", "module_version", "value_index"}
+#: How exports' Arrow types are called in a printed schema.
+PRINTED = {pa.int64(): "Int64", pa.binary(): "Binary", pa.string(): "Utf8", pa.uint64(): "UInt64", pa.uint32(): "UInt32", pa.uint8(): "UInt8", pa.float64(): "Float64"}
+
+
+def arrow_schema(name: str, metadata: dict[str, str] | None = None) -> pa.Schema:
+    """The schema of a type's exported files and batches: Spark's columns with the unsigned types they stand for."""
+    plain = {T.LongType: pa.int64(), T.BinaryType: pa.binary(), T.StringType: pa.string(), T.DecimalType: pa.uint64(), T.ShortType: pa.uint8(), T.DoubleType: pa.float64()}
+    return pa.schema([pa.field(f.name, pa.uint32() if f.name in SMALL else plain[type(f.dataType)], f.nullable) for f in schema_for(name)], metadata)
 
 
 def describe(names: list[str] | None = None, output: str = "text") -> str:
-    """The schemas of some or all types, as text or JSON."""
-    chosen = names or list(TYPES)
-    tables = {n: [{"name": f.name, "type": "UInt32" if f.name in SMALL else PRINTED[type(f.dataType)], "nullable": f.nullable} for f in schema_for(n)] for n in chosen}
+    """The schemas of some or all types' exports, as text or JSON."""
+    tables = {n: [{"name": f.name, "type": PRINTED[f.type], "nullable": f.nullable} for f in arrow_schema(n)] for n in names or TYPES}
     if output == "json":
         return json.dumps(tables, indent=2)
     lines = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pyarrow.parquet as pq
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.schemas import HEURISTICS, TYPES, parse_heuristics
 from ..sources.parquetblocks import open_fs
-from .tables import read_entries, read_info
+from .tables import PART_BYTES, read_entries, read_info
 
 
 def _slim(entries: DataFrame, heuristics: frozenset[str]) -> DataFrame:
@@ -49,7 +48,7 @@ def skip_counts(entries: DataFrame, max_entry_bytes: int | None) -> DataFrame:
 
 def inspect(spark: SparkSession, path: str, heuristics: str = "all", **options) -> dict:
     """Magic, versions, number of keys, and keys per db and type (in the types' order) of one snapshot or several alike."""
-    entries = read_entries(spark, path, **options)
+    entries = read_entries(spark, path, **{"shallow": True, "partBytes": PART_BYTES} | options)  # keys are counted, no rows
     rows = counts(entries, parse_heuristics(heuristics)).where(F.col("level") != "type").collect()
     head = read_info(spark, path, drain=False).orderBy("file").first()
     dbs: dict[int, dict] = {}
@@ -116,18 +115,13 @@ def exported_heuristics(folder: str) -> frozenset[str]:
                 metadata = pq.read_schema(source).metadata or {}
             if b"rdb.heuristics" in metadata:
                 return parse_heuristics(metadata[b"rdb.heuristics"].decode())
-            row = metadata.get(b"org.apache.spark.sql.parquet.row.metadata")
-            if row:
-                for field in json.loads(row).get("fields", []):
-                    if "rdb.heuristics" in field.get("metadata", {}):
-                        return parse_heuristics(field["metadata"]["rdb.heuristics"])
             return frozenset(HEURISTICS)
     return frozenset(HEURISTICS)
 
 
 def validate(spark: SparkSession, path: str, folder: str, **options) -> DataFrame:
     """Compare a snapshot with its Parquet export, with the heuristics that the export names."""
-    entries = read_entries(spark, path, **options)
+    entries = read_entries(spark, path, **{"partBytes": PART_BYTES} | options)
     return reconcile(type_counts(entries, exported_heuristics(folder)), exported_counts(spark, folder))
 
 

@@ -22,10 +22,27 @@ def _register(spark: SparkSession) -> None:
     spark.dataSource.register(SnapshotInfoSource)
 
 
-def read_entries(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Entries of the snapshots at path; for options see sources.snapshotfiles."""
+#: Snapshots of more bytes are read in parts of so many.
+PART_BYTES = 256 << 20
+
+
+def read_entries(spark: SparkSession, path: str, partBytes: int | None = None, **options) -> DataFrame:
+    """Entries of the snapshots at path; for options see sources.snapshotfiles.
+
+    With partBytes, snapshots of more bytes are read in parts of about so many, in parallel: where they can be cut is
+    found at once, in one pass over each of them that decodes nothing (find_parts), a task per file.
+    """
     _register(spark)
-    return spark.read.format("kvsnapshot").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}).load(path)
+    text = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
+    whole = lambda p: spark.read.format("kvsnapshot").options(**text).load(p)
+    if not partBytes:
+        return whole(path)
+    big, small = snapshotfiles.larger_files(path, partBytes)
+    if not big:
+        return whole(path)
+    verify = text.get("verifyCrc", "true") != "false"
+    apart = read_parts(find_parts(spark, ",".join(big), partBytes, verify), **options)
+    return apart.unionByName(whole(",".join(small))) if small else apart
 
 
 def read_info(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -52,7 +69,7 @@ def find_parts(spark: SparkSession, path: str, part_bytes: int = 256 << 20, veri
 def read_parts(parts: DataFrame, **options) -> DataFrame:
     """Entries of snapshots read part by part, about one part per task, with the options of read_entries. seq still
     orders a file's entries but isn't consecutive across parts. The checksum was compared when the parts were found."""
-    o = snapshotfiles.parse_options({k: str(v) for k, v in options.items() if v is not None})
+    o = snapshotfiles.parse_options({k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

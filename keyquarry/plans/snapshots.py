@@ -173,9 +173,9 @@ def validation(change: str) -> Query:
         if change == "mismatch":
             rows = rows.where(F.col("db") != 2)
         if change != "missing":
-            sinks.write_table(rows, f"{out}/string.parquet", metadata=sinks.export_metadata({}, ALL))
+            sinks.write_table(rows, f"{out}/string.parquet", "string", metadata=sinks.export_metadata({}, ALL))
         if change == "extra":
-            sinks.write_table(table(entries(spark, sf_dir, "hash"), "hash"), f"{out}/hash.parquet")
+            sinks.write_table(table(entries(spark, sf_dir, "hash"), "hash"), f"{out}/hash.parquet", "hash")
         return summary.validate(spark, source, out).select("type", "rdb_rows", "parquet_rows", "status")
 
     return query

@@ -5,7 +5,7 @@
 
 Options: path (a file, folder or glob; several separated by commas), maxKeyElements (50000), chunking (true),
 verifyCrc (true), batchRows (65536), batchBytes (64 MiB), and db, types, keyPattern, which skip values before they are
-decoded. They are options of one load and never pushed down, as a pushed filter would stay with the source's later reads.
+decoded, and shallow, with which only strings and sorted sets have values. They are options of one load and never pushed down, as a pushed filter would stay with the source's later reads.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def parse_options(options: dict) -> dict:
     return {
         "chunk": n if chunking else None, "verify": low.get("verifycrc", "true").lower() != "false",
         "rows": int(low.get("batchrows", 65_536)), "bytes": int(low.get("batchbytes", 64 << 20)),
-        "db": None if db is None else int(db), "types": types, "pattern": pattern,
+        "db": None if db is None else int(db), "types": types, "pattern": pattern, "shallow": low.get("shallow", "false").lower() == "true",
     }
 
 
@@ -140,6 +140,8 @@ class _Batch:
         v = e.value
         if type(v) is bytes:
             self.bytes += len(e.key) + len(v) + 64
+        elif v is None:  # passed over
+            self.bytes += len(e.key) + 64
         elif type(v) is list:
             self.bytes += len(e.key) + 64 + 24 * len(v) + sum(map(_width, v))
         else:
@@ -151,7 +153,8 @@ class _Batch:
         kind, encoding = zip(*[N.TYPES[c] for c in code])
         of: dict[str, list[int]] = {}
         for i, k in enumerate(kind):
-            of.setdefault("elems" if k in ("list", "set") else k, []).append(i)
+            if value[i] is not None:
+                of.setdefault("elems" if k in ("list", "set") else k, []).append(i)
 
         def nested(name: str) -> tuple[list[int], list[int], Iterable]:
             rows = of.get(name, [])
@@ -205,6 +208,15 @@ def _packed_bytes(items: list) -> int:
     return sum(32 + (sum(len(f) + len(v) + 16 for f, v in x[1]) if len(x) == 2 else len(x[3] or b"")) for x in items)
 
 
+def larger_files(path: str, size: int) -> tuple[list[str], list[str]]:
+    """The files of a path that have more than size bytes, and the others."""
+    big, small = [], []
+    for file in list_snapshots(path):
+        filesystem, name = open_fs(file)
+        (big if filesystem.get_file_info(name).size > size else small).append(file)
+    return big, small
+
+
 class FilePartition(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -214,7 +226,7 @@ def read_batches(path: str, o: dict) -> Iterator[pa.RecordBatch]:
     """Arrow batches of one file's entries."""
     try:
         with open_snapshot(path) as raw:
-            reader = SnapshotReader(raw, o["chunk"], o["verify"], wanted_by(o))
+            reader = SnapshotReader(raw, o["chunk"], o["verify"], wanted_by(o), o["shallow"])
             yield from _batched(path, reader, o, 0)
     except SnapshotError as e:
         raise _of_file(path, e) from None
@@ -264,7 +276,7 @@ def read_part(path: str, part: int, start: int, end: int, db: int, o: dict) -> I
         filesystem, name = open_fs(path)
         with filesystem.open_input_file(name) as raw:
             raw.seek(start)
-            yield from _batched(path, SnapshotReader.of_part(raw, start, end, db, o["chunk"], wanted_by(o)), o, part * PART_ENTRIES)
+            yield from _batched(path, SnapshotReader.of_part(raw, start, end, db, o["chunk"], wanted_by(o), o["shallow"]), o, part * PART_ENTRIES)
     except SnapshotError as e:
         raise _of_file(path, e) from None
     except OSError as e:

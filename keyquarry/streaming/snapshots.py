@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.schemas import HEURISTICS
-from ..operators.tables import read_entries, tables
+from ..operators.tables import PART_BYTES, read_entries, tables
 from ..runtime import ship
 
 
@@ -30,7 +30,7 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, types: s
         paths = [r["path"] for r in batch.select("path").orderBy("path").collect()]
         if not paths:
             return
-        entries = read_entries(spark, ",".join(paths), **options).persist()
+        entries = read_entries(spark, ",".join(paths), **{"partBytes": PART_BYTES} | options).persist()
         try:
             for kind, df in tables(entries, types, heuristics, order=True).items():
                 df.write.mode("overwrite").parquet(f"{out}/{kind}.parquet/batch={number}")

@@ -23,14 +23,18 @@ FILES = 4
 
 @dataclass(frozen=True)
 class Keyspace:
-    """How a table becomes keys: grouped rows (one per key, columns __key and whatever encode needs) and their bytes."""
+    """How a table becomes keys: grouped rows (one per key, columns __key and whatever encode needs) and their bytes.
+
+    code may depend on the row; before gives what stands before an entry beside its db and expiry.
+    """
 
     rows: Callable[[SparkSession, str], DataFrame]
-    code: int
+    code: int | Callable[[dict], int]
     encode: Callable[[dict], bytes]
     db: Callable[[dict], int] = lambda r: 0
     expiry: Callable[[dict], int | None] = lambda r: None
     magic: str = "VALKEY"
+    before: Callable[[dict], bytes] = lambda r: b""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +49,10 @@ def _nation(spark, d):
     return _table(spark, d, "nation").select(_key("nation:", "n_nationkey"), "n_name", "n_regionkey")
 
 
+def _nations(spark, d):
+    return _table(spark, d, "nation").select(_key("nation:", "n_nationkey"), "n_name", F.col("n_nationkey").cast("int").alias("n_nationkey"))
+
+
 def _customer(spark, d):
     return _table(spark, d, "customer").select(_key("customer:", "c_custkey"), "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
 
@@ -134,6 +142,33 @@ def _hll_value(r) -> bytes:
     return E.string(b"HYLL\x01\x00\x00\x00" + struct.pack("<Q", r["n"]) + b"\x00\x00")
 
 
+def _evictions(r) -> bytes:
+    """Idle times, frequencies, and expiries in seconds."""
+    n = r["n_nationkey"]
+    kind = bytes([N.OP_IDLE]) + E.length(n * 1000) if n % 2 else bytes([N.OP_FREQ, n * 10])
+    return kind + (bytes([N.OP_EXPIRETIME]) + struct.pack("<i", 2_000_000_000 + n) if n % 3 == 0 else b"")
+
+
+def _passed_over(r) -> bytes:
+    """What stands between entries and belongs to none."""
+    module = E.module("testparts", 1, [("sint", 7), ("float", 0.5), ("double", 2.5), ("string", b"aside")])
+    identity = len(E.length(E.module_id("testparts", 1)))
+    return [
+        bytes([N.OP_RESIZEDB]) + E.length(70_000) + E.length(3), bytes([N.OP_FUNCTION2]) + E.string(b"function code"),
+        bytes([N.OP_MODULE_AUX]) + E.length(E.module_id("testparts", 1)) + E.length(2) + E.length(1) + module[identity:],
+        bytes([N.OP_SLOT_INFO]) + E.length(5) + E.length(6) + E.length(7), bytes([N.OP_SLOT_IMPORT]) + E.string(b"job") + E.length(2) + E.length(1) + E.length(9) + E.length(11) + E.length(12),
+    ][r["n_nationkey"] % 5]
+
+
+#: Empty values of each collection, in order of codes' names.
+EMPTIES = ((N.LIST, E.length(0)), (N.SET, E.length(0)), (N.ZSET_2, E.length(0)), (N.HASH, E.length(0)), (N.STREAM_3, E.stream([])), (N.MODULE_2, E.module("testparts", 4, [])), (N.STRING, E.string(b"")))
+
+
+def _dense(r) -> bytes:
+    """A dense sketch, whose count is marked stale where it is odd."""
+    return E.string(b"HYLL\x00\x00\x00\x00" + struct.pack("<Q", r["n"] | (r["n"] % 2) << 63) + bytes(12288))
+
+
 KEYSPACES: dict[str, Keyspace] = {
     "strings": Keyspace(_nation, N.STRING, lambda r: E.string(r["n_name"].encode()), db=lambda r: r["n_regionkey"]),
     "hash": Keyspace(_customer, N.HASH_LISTPACK, lambda r: E.string(E.listpack(_flat(_hash_pairs(r)))), expiry=_expiring),
@@ -157,6 +192,12 @@ KEYSPACES: dict[str, Keyspace] = {
     "stream_v2": Keyspace(_events, N.STREAM_2, lambda r: E.stream(_log(r), N.STREAM_2, groups=E.consumer_groups(N.STREAM_2))),
     "stream_v1": Keyspace(_events, N.STREAM_1, lambda r: E.stream(_log(r), N.STREAM_1, groups=E.consumer_groups(N.STREAM_1)), magic="REDIS"),
     "hash2": Keyspace(_suppliers, N.HASH_2, _hash2),
+    "evictions": Keyspace(_nations, N.STRING, lambda r: E.string(r["n_name"].encode()), before=_evictions),
+    "passed_over": Keyspace(_nations, N.STRING, lambda r: E.string(r["n_name"].encode()), before=_passed_over),
+    "zipmaps": Keyspace(_nations, lambda r: N.HASH_ZIPMAP if r["n_nationkey"] % 5 == 0 else N.STRING, lambda r: E.string(r["n_name"].encode())),
+    "empties": Keyspace(_nations, lambda r: EMPTIES[r["n_nationkey"] % 7][0], lambda r: EMPTIES[r["n_nationkey"] % 7][1]),
+    "dense": Keyspace(_hll, N.STRING, _dense),
+    "module_kinds": Keyspace(_parts, N.MODULE_2, lambda r: E.module("testkinds", 1000, [("sint", r["p_size"]), ("float", r["p_size"] / 4)])),
     "lzf": Keyspace(_documents, N.STRING, lambda r: E.lzf_string(r["text"].encode()) if r["text"] else E.string(b"")),
 }
 
@@ -184,7 +225,8 @@ def build(spark: SparkSession, sf_dir: str, name: str) -> str:
                 r = dict(zip(columns, values))
                 if "items" in r:  # numbers and structs of an array, as plain Python
                     r["items"] = [tuple(x.values()) if isinstance(x, dict) else x for x in getattr(r["items"], "tolist", lambda items=r["items"]: items)()]
-                snapshot.add(space.code, r["__key"].encode(), space.encode(r), space.db(r), space.expiry(r))
+                snapshot.select(space.db(r)).raw(space.before(r))
+                snapshot.add(space.code(r) if callable(space.code) else space.code, r["__key"].encode(), space.encode(r), space.db(r), space.expiry(r))
                 n += 1
         filesystem, target = open_fs(folder)
         filesystem.create_dir(target, recursive=True)

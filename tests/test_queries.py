@@ -3,11 +3,11 @@
 import compare
 import pytest
 
-from keyquarry.plans import oracles, problems, snapshots
+from keyquarry.plans import details, oracles, problems, snapshots
 
 SMALL = f"{compare.DATA}/sf0.001"
-QUERIES = problems.QUERIES | snapshots.QUERIES
-SQL = oracles.SQL | snapshots.SQL
+QUERIES = problems.QUERIES | snapshots.QUERIES | details.QUERIES
+SQL = oracles.SQL | snapshots.SQL | details.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -5,6 +5,7 @@ import math
 import os
 import struct
 from decimal import Decimal
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -266,11 +267,95 @@ def test_export_metadata_and_row_groups(spark, files, tmp_path):
     assert summary.exported_heuristics(out) == frozenset()
     out = str(tmp_path / "b")
     api.to_parquet(spark, files["big"], out, heuristic="none")
-    assert summary.exported_heuristics(out) == frozenset() and spark.read.parquet(f"{out}/list.parquet").schema["db"].metadata["rdb.ctime"] == "1704067200"
+    assert summary.exported_heuristics(out) == frozenset() and pq.ParquetFile(next(Path(f"{out}/list.parquet").glob("*.parquet"))).schema_arrow.metadata[b"rdb.ctime"] == b"1704067200"
     assert json.load(open(f"{out}/_export_manifest.json"))["rows"] == {"list": 500, "zset": 200, "hash": 2}
+    # Of several snapshots, what they agree in.
+    written = api.to_parquet(spark, f"{files['basic']},{files['compat']}", str(tmp_path / "c"))
+    meta = pq.ParquetFile(next((tmp_path / "c/hash.parquet").glob("*.parquet"))).schema_arrow.metadata
+    assert b"rdb.ctime" in meta and b"rdb.valkey-ver" not in meta and b"rdb.redis-ver" not in meta and written["hash"] == 6
+    assert len(json.load(open(f"{tmp_path}/c/_export_manifest.json"))["snapshots"]) == 2
     assert summary.exported_heuristics(str(tmp_path / "absent")) == {"geo"}
 
 
+def test_files_have_the_printed_schema(spark, files, tmp_path):
+    """Types, nullability and names of every file and batch are those that the schema command prints."""
+    printed = json.loads(schemas.describe(output="json"))
+    for form, extension, read in (("parquet", "parquet", pq.read_schema), ("arrow-ipc", "arrow", lambda p: pa.ipc.open_file(p).schema)):
+        api.export(spark, files["mixed"], str(tmp_path), form)
+        for kind in schemas.TYPES:
+            (path,) = (tmp_path / f"{kind}.{extension}").glob(f"*.{extension}")
+            assert [{"name": f.name, "type": schemas.PRINTED[f.type], "nullable": f.nullable} for f in read(path)] == printed[kind]
+    assert {k for k, b in api.read_batches(spark, files["mixed"]) if b.schema.equals(schemas.arrow_schema(k))} == set(schemas.TYPES)
+    back = spark.read.parquet(str(tmp_path / "module.parquet")).where("opcode = 'sint'").first()
+    assert back["int_value"] == Decimal(2**64 - 1) and back["db"] == 2
+    first = schemas.arrow_schema("string")
+    assert (first.field("db").type, first.field("lfu_frequency").type, first.field("num_elements").type, first.field("key").nullable) == (pa.uint32(), pa.uint8(), pa.uint64(), False)
+    sinks.write_table(table(read_entries(spark, files["basic"]), "geo"), str(tmp_path / "none.parquet"), "geo")
+    assert pq.read_table(tmp_path / "none.parquet").num_rows == 0
+
+
+@pytest.mark.parametrize("form", ["parquet", "arrow-ipc", "csv", "json"])
+def test_a_failed_write_leaves_the_old_export(spark, files, tmp_path, form):
+    out = str(tmp_path / f"hash.{form}")
+    good = table(read_entries(spark, files["basic"]), "hash")
+    sinks.write_table(good, out, "hash", form)
+    before = {p.name: p.read_bytes() for p in Path(out).iterdir()}
+    bad = good.unionByName(good.withColumn("field", F.when(F.col("num_elements") == 3, F.raise_error(F.lit("no more"))).otherwise(F.col("field"))))
+    with pytest.raises(Exception, match="no more"):
+        sinks.write_table(bad, out, "hash", form)
+    if form in ("parquet", "arrow-ipc"):
+        with pytest.raises(ValueError, match="expected"):
+            sinks.write_table(good, out, "hash", form, expected=4)
+    assert {p.name: p.read_bytes() for p in Path(out).iterdir()} == before and [p.name for p in tmp_path.iterdir()] == [f"hash.{form}"]
+
+
+def test_skipped_values_are_told(spark, files, tmp_path, capsys):
+    written = api.to_parquet(spark, files["mixed"], str(tmp_path / "a"), max_entry_bytes=30)
+    sizes = [r[0] for r in read_entries(spark, files["mixed"]).select(C.estimated_bytes()).collect()]
+    assert written.skipped == {"unknown_type": 1, "oversized": sum(n > 30 for n in sizes)} and written.skipped["oversized"] > 0
+    assert json.load(open(f"{tmp_path}/a/_export_manifest.json"))["skipped"] == written.skipped
+    assert cli.main(["export", files["mixed"], "-o", str(tmp_path / "b")]) == 0 and "1 values skipped: unknown type" in capsys.readouterr().err
+
+
+def test_large_files_are_read_in_parts(spark, files, tmp_path):
+    both = f"{files['mixed']},{files['big']}"
+    apart = read_entries(spark, both, partBytes=600, maxKeyElements=100)
+    assert apart.rdd.getNumPartitions() > 3
+    whole = read_entries(spark, both, maxKeyElements=100)
+    plain = [c for c in whole.columns if c != "seq"]
+    listed = lambda df: sorted(repr(r) for r in df.select(plain).collect())
+    assert listed(apart) == listed(whole)
+    assert cli.main(["export", files["mixed"], "-o", str(tmp_path / "x"), "--part-bytes", "600b"]) == 0
+    assert {r["status"] for r in api.validate(spark, files["mixed"], str(tmp_path / "x"))} == {"ok"}
+    assert {k: df.count() for k, df in api.read(spark, files["mixed"], part_bytes=600).items()} == {k: df.count() for k, df in api.read(spark, files["mixed"], part_bytes=0).items()}
+
+
+def test_tables_decode_their_own_values(spark, tmp_path):
+    """A damaged list doesn't matter to who asks for hashes, nor to counting keys."""
+    s = basic().add(N.LIST_ZIPLIST, b"torn", E.string(b"\x00\x01\x02"))
+    (tmp_path / "torn.rdb").write_bytes(s.bytes())
+    got = api.read(spark, str(tmp_path / "torn.rdb"))
+    assert set(got) == {"string", "list", "set", "zset", "hash"} and got["hash"].count() == 3
+    assert api.inspect(spark, str(tmp_path / "torn.rdb"))["dbs"][0]["types"]["list"] == 2
+    with pytest.raises(Exception, match="SNAPSHOT_CORRUPT"):
+        got["list"].count()
+    shallow = read_entries(spark, str(tmp_path / "torn.rdb"), shallow=True)
+    assert {r["type"] for r in shallow.where("str is null and scored is null").collect()} == {"list", "set", "hash"} and shallow.where("elems is not null or fields is not null").count() == 0
+
+
+def test_unreadable_files(spark, files, tmp_path, capsys):
+    """What can't be opened is an input error, what is no whole snapshot a damaged one."""
+    from keyquarry.codec.errors import CorruptData, Truncated, Unreadable, from_message
+
+    for kind in (CorruptData, Truncated, Unreadable):
+        assert type(from_message(f"Job aborted: {kind('x')}\n more")) is kind
+    with pytest.raises(api.SnapshotUnreadableError), api.told():
+        raise RuntimeError(f"worker: {Unreadable('/a/b: permission denied')}")
+    with pytest.raises(api.SnapshotIOError), api.told():
+        raise Truncated("early")
+    assert cli.main(["validate", f"{files['folder']}/absent.rdb", str(tmp_path)]) == 3 and cli.main(["validate", f"{files['folder']}/broken/short.rdb", str(tmp_path)]) == 4
+
+
 def test_text_exports_are_hex(spark, files, tmp_path):
     api.export(spark, files["mixed"], str(tmp_path), "csv", types="string")
     api.export(spark, files["mixed"], str(tmp_path), "json", types="hash")
