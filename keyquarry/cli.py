@@ -123,7 +123,7 @@ def run_export(a) -> int:
     spark = session()
     with spooled(spark, a.file) as file:
         written = api.export(
-            spark, file, os.path.abspath(out) if "://" not in out else out, a.format, compression=a.compression, row_group_size=a.row_group_size, heuristic=a.heuristic,
+            spark, file, out if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", out) else os.path.abspath(out), a.format, compression=a.compression, row_group_size=a.row_group_size, heuristic=a.heuristic,
             max_entry_bytes=a.max_entry_bytes, db=a.db, types=a.types, key_pattern=a.key_pattern, shard=a.shard_id, max_key_elements=a.max_key_elements, chunking=not a.no_chunking,
             batch_rows=a.batch_size, batch_bytes=a.batch_bytes, part_bytes=a.part_bytes,
         )

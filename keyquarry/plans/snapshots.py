@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.schemas import HEURISTICS
+from ..functions.schemas import HEURISTICS, schema_for
 from ..operators import summary
 from ..operators.tables import read_entries, read_info, select_entries, table
 from ..runtime import fresh_path, utf8
 from ..sources import sinks
+from ..sources.parquetblocks import open_fs
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL = frozenset(HEURISTICS)
@@ -188,7 +192,7 @@ def export_roundtrip(form: str, **options) -> Query:
         sinks.export(found, out, form, **options)
         folder = f"{out}/hash.{sinks.EXTENSIONS[form]}"
         if form == "arrow-ipc":
-            back = read_arrow(spark, folder)
+            back = read_arrow(spark, folder, "hash")
         elif form == "csv":
             back = spark.read.csv(folder, header=True)
         else:
@@ -199,19 +203,12 @@ def export_roundtrip(form: str, **options) -> Query:
     return query
 
 
-def read_arrow(spark: SparkSession, folder: str) -> DataFrame:
-    """Arrow IPC files of a folder as a DataFrame, a file per task."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    from ..sources.parquetblocks import open_fs
-
+def read_arrow(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Arrow IPC files of a type's export as a DataFrame, a file per task."""
     filesystem, name = open_fs(folder)
-    from pyarrow import fs as pafs
-
     files = sorted(f.path for f in filesystem.get_file_info(pafs.FileSelector(name)) if f.base_name.endswith(".arrow"))
-    with filesystem.open_input_file(files[0]) as f, pa.ipc.open_file(f) as r:
-        schema = from_arrow_schema(r.schema)
+    schema = schema_for(kind)
+    types = to_arrow_schema(schema)
 
     def read(batches):
         fs, _ = open_fs(folder)
@@ -219,9 +216,9 @@ def read_arrow(spark: SparkSession, folder: str) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 with fs.open_input_file(path) as f, pa.ipc.open_file(f) as r:
                     for i in range(r.num_record_batches):
-                        yield r.get_batch(i)
+                        yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(r.get_batch(i).columns, types)], types.names)
 
-    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files))
+    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)))
     return listed.mapInArrow(read, schema)
 
 
