@@ -135,6 +135,17 @@ class ByteBpe:
                 if len(p) > PART_CHARS:
                     del known[p]
 
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[str | None, np.ndarray]]:
+        """Each text with its token ids; few of them are held at a time."""
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < GROUP_CHARS:
+                some.append(texts[at].as_py())
+                size += len(some[-1] or "")
+                at += 1
+            yield from zip(some, self.encode_all(some))
+
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of whole texts; none for an empty or null text."""
         return [np.frombuffer(b"".join(ids), dtype="<i4") for ids in self._parted(texts)]
