@@ -45,7 +45,10 @@ def merge(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def merge_cube(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Matrices of every combination of groups; `level` is the grouping id, in which a 1 bit marks a group that is all."""
-    return parts.cube(*[f"`{g}`" for g in groups], "bucket").agg(F.bit_or("bits").alias("bits"), F.sum("n_rows").alias("n_rows"), F.grouping_id().alias("__id")).where("__id % 2 = 0").withColumn("level", F.expr("cast(shiftright(__id, 1) as bigint)")).drop("__id")
+    names = [f"`{g}`" for g in groups]
+    sets = [[F.col(c) for i, c in enumerate(names) if not level >> i & 1] + [F.col("bucket")] for level in range(2 ** len(names))]
+    merged = parts.groupingSets(sets, *names, "bucket").agg(F.bit_or("bits").alias("bits"), F.sum("n_rows").alias("n_rows"), F.grouping_id().alias("__id"))
+    return merged.withColumn("level", F.expr("cast(shiftright(__id, 1) as bigint)")).drop("__id")
 
 
 def likeliest(set_cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
