@@ -1,8 +1,10 @@
 """The N highest-scoring items of every group, by descending score bands.
 
-Scores are cut into bands at their quantiles. Bands are worked from the top: groups that already have N items are
+Groups of many rows are worked in bands of scores, from the top: the first band's lower end is placed so that about as many
+rows lie above it as fill all such groups, each later band holds eight times as many. Groups that have N items are
 anti-joined away, so most rows of large groups are never shuffled; groups left short carry what they have into the next
-band. A band holds all equal scores, so ranking ties within it is exact.
+band. The last band takes what is left, and all rows of small groups, whose rows are few. A band holds all equal scores,
+so ranking ties within it is exact.
 """
 
 from __future__ import annotations
@@ -13,30 +15,43 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import is_small, materialize, null_safe
+from ..runtime import materialize, null_safe, small_side, small_table
 
-#: Shares of rows that lie below the bands' lower ends, from the top band down; below the last is the bottom band.
-BAND_QUANTILES = (0.9, 0.5)
-#: The parts a group's rows are spread over while filled groups that aren't few are joined away.
-SALTS = 16
+#: A group of more than so many rows for each item that is kept is worked in bands.
+LARGE = 64
+#: Rows above the first band's lower end for each item to keep of the large groups; each later band holds WIDER times as
+#: many as all bands before it.
+FIRST, WIDER = 4, 8
+#: No band ends below this share of the large groups' rows: the rest is the last band.
+LAST = 0.5
+#: Ranks are exact within this part of the rows when the bands' ends are sought; they only decide how wide bands are.
+ACCURACY = 100_000
 
 
-def _without(rows: DataFrame, filled: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """rows of groups that aren't in filled. A long list of filled groups meets rows salted by item, so that a hot
-    group's rows are spread over tasks."""
-    if is_small(filled):
-        return null_safe(rows, F.broadcast(filled), ids, "left_anti")
-    salted = filled.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    spread = rows.withColumn("__salt", F.pmod(F.xxhash64("__item"), F.lit(SALTS)))
-    return null_safe(spread, salted, [*ids, "__salt"], "left_anti").drop("__salt")
+def band_ends(rows: DataFrame, n: int, groups: int, total: int) -> list[float]:
+    """Lower ends of the bands from the top down, at quantiles of the rows' finite scores; none where one band will do."""
+    shares, share = [], FIRST * n * groups / max(total, 1)
+    while share < LAST:
+        shares.append(share)
+        share *= WIDER
+    if not shares:
+        return []
+    finite = rows.where(F.abs("__score") < F.lit(float("inf")))
+    cuts = finite.agg(F.percentile_approx("__score", [1 - s for s in shares], ACCURACY)).first()[0]
+    return sorted(set(cuts or []), reverse=True)
 
 
-def top_n(rows: DataFrame, n: int, group: Sequence[str], item: str, score: str, quantiles: Sequence[float] = BAND_QUANTILES) -> DataFrame:
+def top_n(rows: DataFrame, n: int, group: Sequence[str], item: str, score: str, large: int = LARGE) -> DataFrame:
     """(group columns, pos, item, score): per group the n items of highest score, pos 1 to n.
 
     An item given more than once counts once, with its highest score. Null and NaN scores and null items don't count;
     -0.0 equals 0.0; infinities rank. Equal scores rank by item, ascending (bytes, for binary). A group with fewer items
     gives what it has, one without any no row. Null group columns are values like any other. Other columns are not read.
+
+    A table without groups of more than large * n rows is one band. Otherwise the rows are read once for their number by
+    group, once for the bands' ends and once for each band; before a shuffle they are combined by (group, item), and of
+    what a task then has of a group n rows at most go on. Lists of groups are broadcast if they are small (runtime),
+    else joined by a shuffle, in which Spark splits the partitions of hot groups.
     """
     if n < 1:
         raise ValueError("n must be 1 or more")
@@ -44,35 +59,37 @@ def top_n(rows: DataFrame, n: int, group: Sequence[str], item: str, score: str,
     plain = F.when(F.col(f"`{score}`") == 0, F.lit(0.0)).otherwise(F.col(f"`{score}`").cast("double"))
     picked = rows.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(group, ids)], F.col(f"`{item}`").alias("__item"), plain.alias("__score"))
     picked = picked.where(F.col("__item").isNotNull() & F.col("__score").isNotNull() & ~F.isnan("__score"))
-    finite = picked.where(F.abs("__score") < F.lit(float("inf")))
-    cuts = finite.agg(F.percentile_approx("__score", list(quantiles), 1000)).first()[0] if quantiles else None
-    bounds = sorted(set(cuts or []), reverse=True)
     order = Window.partitionBy(*ids).orderBy(F.col("__score").desc(), F.col("__item"))
+
+    def ranked(band: DataFrame) -> DataFrame:
+        best = band.groupBy(*ids, "__item").agg(F.max("__score").alias("__score"))
+        # Catalyst keeps n rows of a group per task before the shuffle (window group limit).
+        return best.withColumn("__pos", F.row_number().over(order)).where(F.col("__pos") <= n)
+
+    many = small_table(picked.groupBy(*ids).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > large * n))
+    groups, total = many.agg(F.count(F.lit(1)), F.sum("__rows")).first()
+    ends = band_ends(null_safe(picked, many.drop("__rows"), ids, "left_semi"), n, groups, total) if groups else []
     done: list[DataFrame] = []
-    carried: DataFrame | None = None
-    filled: DataFrame | None = None
-    above = None
-    for low in [*bounds, None]:
-        band = picked
-        if low is not None:
-            band = band.where(F.col("__score") >= low)
+    open_groups, carried, above = many.drop("__rows"), None, None
+    for low in ends:
+        band = null_safe(picked.where(F.col("__score") >= low), open_groups, ids, "left_semi")
         if above is not None:
             band = band.where(F.col("__score") < above)
-        if filled is not None:
-            band = _without(band, filled, ids)
         if carried is not None:
             band = band.unionByName(carried)
-        best = band.groupBy(*ids, "__item").agg(F.max("__score").alias("__score"))
-        # Catalyst keeps n rows of a group per task before the shuffle (window group limit).
-        ranked = best.withColumn("__pos", F.row_number().over(order)).where(F.col("__pos") <= n)
-        if low is None:
-            done.append(ranked)
-            break
-        held = materialize(ranked.withColumn("__full", F.count(F.lit(1)).over(Window.partitionBy(*ids)) == n), "band")
+        held = materialize(ranked(band).withColumn("__full", F.count(F.lit(1)).over(Window.partitionBy(*ids)) == n), "band")
         done.append(held.where("__full").drop("__full"))
+        open_groups = small_table(null_safe(open_groups, done[-1].where(F.col("__pos") == n).select(*ids), ids, "left_anti"))
         carried = held.where("NOT __full").select(*ids, "__item", "__score")
-        now = held.where("__full").where(F.col("__pos") == n).select(*ids)
-        filled = now if filled is None else filled.unionByName(now)
         above = low
+        if open_groups.isEmpty():
+            break
+    rest = picked
+    if done:
+        # Of groups that stayed open all that lies above the last end is carried; of small groups nothing is yet.
+        state = small_side(null_safe(many.drop("__rows").withColumn("__banded", F.lit(True)), open_groups.withColumn("__open", F.lit(True)), ids, "left"))
+        told = null_safe(picked, state, ids, "left")
+        rest = told.where(F.col("__banded").isNull() | (F.col("__open") & (F.col("__score") < above))).select(*picked.columns).unionByName(carried)
+    done.append(ranked(rest))
     out = reduce(DataFrame.unionByName, done)
     return out.select(*[F.col(i).alias(c) for i, c in zip(ids, group)], F.col("__pos").cast("bigint").alias("pos"), F.col("__item").alias(item), F.col("__score").alias(score))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keyquarry import runtime
 from keyquarry.llm import distinct, queries, topn
 
 SCHEMA = "g string, item binary, score double, pos string, __item string"
@@ -27,19 +28,28 @@ def ranked(df, n, **kw):
     return {(r["g"], r["pos"], bytes(r["item"]), r["score"]) for r in topn.top_n(df, n, ["g"], "item", "score", **kw).collect()}
 
 
-@pytest.mark.parametrize("salted", [False, True])
-def test_top_n(spark, monkeypatch, salted):
-    if salted:
-        monkeypatch.setattr(topn, "is_small", lambda df: False)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_top_n(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
     random.seed(1)
     special = [math.nan, math.inf, -math.inf, -0.0, 0.0, None, 3.0, 3.0]
     rows = [(random.choice(["hot"] * 6 + ["a", "b", None, "c"]), random.choice([b"", b"\xff", b"m%d" % random.randint(0, 60)]), random.choice([*special, random.uniform(-9, 9), float(random.randint(0, 4))])) for _ in range(3000)]
     rows += [("few", b"x", 1.0), ("few", b"x", 2.0), ("none", None, None), ("nan", b"y", math.nan), ("low", b"z", -1e300)]
+    rows += [("deep", b"d%d" % (i % 4), -1e6 - i) for i in range(2000)]  # too few items to be filled by any band
+    rows += [("ties", b"t%04d" % i, 9.5) for i in range(900)]
     df = spark.createDataFrame([(*r, "p", "q") for r in rows], SCHEMA)
-    for n in (1, 5):
-        assert ranked(df, n) == brute(rows, n)
-    assert ranked(df, 5, quantiles=(0.99, 0.98, 0.5, 0.1)) == brute(rows, 5)
-    assert ranked(df, 5, quantiles=()) == brute(rows, 5)
+    for n, large in ((5, 64), (5, 2), (1, 1)) if broadcast else ((5, 10),):
+        assert ranked(df, n, large=large) == brute(rows, n)
+
+
+def test_bands(spark):
+    """Where groups are large there are several bands, which narrow towards the top; most rows lie in none of them."""
+    df = spark.range(100_000).select((F.col("id") % 20).alias("g"), F.col("id").cast("double").alias("__score"))
+    ends = topn.band_ends(df, 5, 20, 100_000)
+    above = [df.where(F.col("__score") >= e).count() for e in ends]
+    assert len(ends) == 3 and above[0] == pytest.approx(400, rel=0.1) and above[1] == pytest.approx(3200, rel=0.1) and above[2] == pytest.approx(25600, rel=0.1)
+    assert topn.band_ends(df, 5, 20_000, 100_000) == []
 
 
 def test_top_n_equal_scores_and_empty(spark):
