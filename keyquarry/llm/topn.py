@@ -3,8 +3,8 @@
 Groups of many rows are worked in bands of scores, from the top: the first band's lower end is placed so that about as many
 rows lie above it as fill all such groups, each later band holds eight times as many. Groups that have N items are
 anti-joined away, so most rows of large groups are never shuffled; groups left short carry what they have into the next
-band. The last band takes what is left, and all rows of small groups, whose rows are few. A band holds all equal scores,
-so ranking ties within it is exact.
+band. The last band takes what is left. A band holds all equal scores, so ranking ties within it is exact. Small groups
+are ranked whole, each in one task after one shuffle.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ def top_n(rows: DataFrame, n: int, group: Sequence[str], item: str, score: str,
     -0.0 equals 0.0; infinities rank. Equal scores rank by item, ascending (bytes, for binary). A group with fewer items
     gives what it has, one without any no row. Null group columns are values like any other. Other columns are not read.
 
-    A table without groups of more than large * n rows is one band. Otherwise the rows are read once for their number by
-    group, once for the bands' ends and once for each band; before a shuffle they are combined by (group, item), and of
-    what a task then has of a group n rows at most go on. Lists of groups are broadcast if they are small (runtime),
-    else joined by a shuffle, in which Spark splits the partitions of hot groups.
+    The rows are read once for their number by group, and once for the groups of up to large * n rows. If there are
+    larger ones, they are read once for the bands' ends and once for each band; rows of a band are combined by (group,
+    item) before a shuffle, and of what a task then has of a group n rows at most go on. Lists of groups are broadcast
+    if they are small (runtime), else joined by a shuffle, in which Spark splits the partitions of hot groups.
     """
     if n < 1:
         raise ValueError("n must be 1 or more")
@@ -84,12 +84,10 @@ def top_n(rows: DataFrame, n: int, group: Sequence[str], item: str, score: str,
         above = low
         if open_groups.isEmpty():
             break
-    rest = picked
-    if done:
-        # Of groups that stayed open all that lies above the last end is carried; of small groups nothing is yet.
-        state = small_side(null_safe(many.drop("__rows").withColumn("__banded", F.lit(True)), open_groups.withColumn("__open", F.lit(True)), ids, "left"))
-        told = null_safe(picked, state, ids, "left")
-        rest = told.where(F.col("__banded").isNull() | (F.col("__open") & (F.col("__score") < above))).select(*picked.columns).unionByName(carried)
-    done.append(ranked(rest))
+    if groups and not open_groups.isEmpty():  # what lies above the last end is carried
+        rest = null_safe(picked if above is None else picked.where(F.col("__score") < above), open_groups, ids, "left_semi")
+        done.append(ranked(rest if carried is None else rest.unionByName(carried)))
+    small = null_safe(picked, many.drop("__rows"), ids, "left_anti") if groups else picked
+    done.append(ranked(small.repartition(*ids)))
     out = reduce(DataFrame.unionByName, done)
     return out.select(*[F.col(i).alias(c) for i, c in zip(ids, group)], F.col("__pos").cast("bigint").alias("pos"), F.col("__item").alias(item), F.col("__score").alias(score))
