@@ -93,13 +93,14 @@ def read_leaves(sizes: DataFrame, targets: DataFrame, path: Sequence[str]) -> li
 
 
 def plan(leaves: Sequence[Leaf], total: int) -> list[dict]:
-    """Each leaf with its share of weight, target (share of total), capacity, whether it falls short, and budget."""
+    """Each leaf with its share of weight, target (share of total), budget, and whether it falls short: its budget is all
+    that it has, and below its share."""
     weights = math.fsum(x.weight for x in leaves)
     budgets = allocate(leaves, float(total))
     out = []
     for x in leaves:
-        share = x.weight / weights if weights else 0.0
-        out.append({"leaf": x, "share": share, "target": share * total, "short": x.capacity < share * total, "budget": int(budgets[x.path])})
+        share, given = x.weight / weights if weights else 0.0, budgets[x.path]
+        out.append({"leaf": x, "share": share, "target": share * total, "short": given >= x.capacity and given < share * total, "budget": int(given)})
     return out
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import compare
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -213,3 +214,45 @@ def test_shares_reached(spark):
     assert sum(r["reached"] for r in rows) == pytest.approx(1)
     for r in rows:
         assert r["drawn"] <= r["budget"] <= r["max_repeats"] * r["tokens"] and r["most_times"] <= r["max_repeats"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["word", "don't", " ", "  ", "\n", "\n\n", "\t", "'s", "--'", "é", "🌿", "　", "\xa0", "123", "x" * 40, "(", "\r\n"]), min_size=1, max_size=60), st.data())
+def test_own_length(own, parts, data):
+    """Encoding a piece's ends again gives what encoding the whole piece gives."""
+    raw = "".join(parts).encode()
+    ids = own.encode(raw.decode())
+    offsets = np.concatenate([[0], np.cumsum(own.sizes[ids])])
+    a = data.draw(st.integers(0, len(ids) - 1))
+    b = data.draw(st.integers(a + 1, len(ids)))
+    assert splitting.own_length(own, raw, offsets, a, b) == own.count(raw[offsets[a] : offsets[b]].decode("utf-8", "replace"))
+
+
+def test_work_grows_with_length(own):
+    """Twice the text takes about twice the calls and bytes, whatever its length."""
+    line = "+ some changed line of code(arg, 17)\n"
+    seen = []
+
+    class Counting:
+        sizes = own.sizes
+
+        def count(self, text):
+            seen.append(len(text))
+            return own.count(text)
+
+    def work(n):
+        seen.clear()
+        raw = (line * n).encode()
+        assert len(splitting.pieces_of(Counting(), raw, own.encode(raw.decode()), 2048, 128, [(k, re.compile(p, re.M)) for k, p in splitting.BOUNDARIES])) > 1
+        return sum(seen)
+
+    assert work(8000) <= 2.2 * work(4000) and work(8000) < 8000 * len(line) / 20
+
+
+def test_boundaries_are_parameters(spark):
+    text = "one two three. " * 80
+    got = cut(spark, [text], limit=50, overlap=0, boundaries=[("sentence", rb"(?<=\. )")])
+    assert {p["cut"] for p in got[0]} == {"sentence", "end"} and "".join(p["piece"] for p in got[0]) == text
+    assert {p["cut"] for p in cut(spark, [text], limit=50, overlap=0)[0]} == {"hard", "end"}
+    bare = splitting.split_oversized(spark.createDataFrame([(1, text)], "doc_id int, text string"), limit=50, overlap=0, texts=False)
+    assert "piece" not in bare.columns and [r["end_token"] for r in bare.orderBy("piece_no").collect()] == [p["end_token"] for p in cut(spark, [text], limit=50, overlap=0)[0]]
