@@ -10,25 +10,52 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path, materialize, ship
 from ..sources import parquetblocks
+from ..sources.parquetblocks import open_fs
 
 TARGET_BYTES = 256 << 20
 FOOTERS_PER_TASK = 1000
+#: Tasks that list the folders of one level, at most.
+FOLDER_TASKS = 1000
 #: Files that one task joins at most in a round, so that no task is long; what it writes is joined in the next round.
 FILES_PER_BIN = 1000
 
+FILES = "path string, length bigint"
 #: A file: its own blocks and rows, and the input's files and blocks that it holds.
 FACTS = "path string, length bigint, signature string, n_blocks bigint, n_rows bigint, held_files bigint, held_blocks bigint"
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of the Parquet files under path; Spark lists them, in parallel where they are many."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("path").endswith(".parquet")).select("path", "length")
+    """(path, length) of the Parquet files under path, without those whose name, or a folder's, begins with _ or a dot.
+
+    Folders are listed level by level, each by a task, so the driver holds no list of files, however many there are.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one in batch["path"]:
+                filesystem, name = open_fs(one)
+                scheme = one[: len(one) - len(name)] if one.endswith(name) else ""
+                inside = filesystem.get_file_info(pafs.FileSelector(name))
+                folder = [f.type == pafs.FileType.Directory for f in inside]
+                kept = [(scheme + f.path, None if d else f.size) for f, d in zip(inside, folder) if f.base_name[0] not in "_." and (d or f.base_name.endswith(".parquet"))]
+                yield pd.DataFrame({"path": pd.Series([p for p, _ in kept], dtype=object), "length": pd.Series([n for _, n in kept], dtype="Int64")})
+
+    filesystem, name = open_fs(path)
+    info = filesystem.get_file_info(name)
+    if info.type == pafs.FileType.File:
+        return spark.createDataFrame([(path, info.size)], FILES)
+    folders, found = spark.createDataFrame([(path,)], "path string"), spark.createDataFrame([], FILES)
+    while n := folders.count():
+        level = materialize(folders.repartition(min(n, FOLDER_TASKS)).mapInPandas(listed, FILES), "listing")
+        found = found.unionByName(level.where(F.col("length").isNotNull()))
+        folders = level.where(F.col("length").isNull()).select("path")
+    return found
 
 
 def read_facts(files: DataFrame) -> DataFrame:

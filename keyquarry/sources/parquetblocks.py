@@ -18,8 +18,8 @@ from .parquetpages import COLUMN_DATA, COLUMN_DICTIONARY, COLUMN_PLAIN_SIZE, COL
 
 MAGIC = b"PAR1"
 COPY_BYTES = 8 << 20
-#: Files read ahead of the one that is being copied; each is at most COPY_BYTES in memory.
-READERS = 4
+#: Threads that open files ahead of the one that is being copied, so many at a time; those of up to AHEAD_BYTES are read.
+READERS, AHEAD_FILES, AHEAD_BYTES = 4, 32, 256 << 10
 #: Row groups of less are merged, into groups of about so many bytes, or rows.
 SMALL_BYTES, GROUP_BYTES, MOST_ROWS = 4 << 20, 64 << 20, 1 << 20
 
@@ -91,12 +91,10 @@ BEGINNINGS = 16
 
 def _parse_footer(raw: bytes) -> tuple[dict, bytes]:
     """A footer's fields and its encoded schema."""
-    reader = tc.Reader(raw)
-    for begin, fields in _beginnings.items():
+    for begin, fields in list(_beginnings.items()):
         if raw.startswith(begin):
-            reader.at = len(begin)
-            return fields | reader.struct(META_SCHEMA), begin
-    meta = reader.struct()
+            return fields | tc.read_struct(raw, len(begin), META_SCHEMA)[0], begin
+    meta, _ = tc.read_struct(raw)
     schema = {k: meta[k] for k in (META_VERSION, META_SCHEMA) if k in meta}
     begin = tc.struct_bytes(schema)[:-1]
     if raw.startswith(begin):  # as every writer encodes it
@@ -122,27 +120,33 @@ def footers_facts(paths: list[str]) -> list[tuple[str, int, int]]:
         return list(pool.map(footer_facts, paths))
 
 
-def _open_ahead(path: str):
-    """A file to read from; a small one is read at once, so that it can be read before its turn."""
-    filesystem, name = open_fs(path)
-    f = filesystem.open_input_file(name)
-    if f.size() > COPY_BYTES:
-        return f
-    with f:
-        return pa.BufferReader(f.read())
+def _open_ahead(paths: list[str]) -> list[pa.NativeFile]:
+    """Files to read from; small ones are read at once, so that they can be read before their turn."""
+    out = []
+    for path in paths:
+        filesystem, name = open_fs(path)
+        f = filesystem.open_input_file(name)
+        if f.size() <= AHEAD_BYTES:
+            with f:
+                out.append(pa.BufferReader(f.read()))
+        else:
+            out.append(f)
+    return out
 
 
 def opened(paths: list[str]) -> Iterator[tuple[str, pa.NativeFile]]:
-    """(path, open file) one after the other, with READERS files read ahead."""
+    """(path, open file) one after the other, with READERS times AHEAD_FILES files opened ahead."""
+    groups = [paths[i : i + AHEAD_FILES] for i in range(0, len(paths), AHEAD_FILES)]
     with ThreadPoolExecutor(READERS) as pool:
         waiting: deque = deque()
-        for at in range(len(paths) + READERS):
-            if at < len(paths):
-                waiting.append((paths[at], pool.submit(_open_ahead, paths[at])))
-            if waiting and (at >= READERS or at >= len(paths)):
-                path, ahead = waiting.popleft()
-                with ahead.result() as f:
-                    yield path, f
+        for at in range(len(groups) + READERS):
+            if at < len(groups):
+                waiting.append((groups[at], pool.submit(_open_ahead, groups[at])))
+            if waiting and (at >= READERS or at >= len(groups)):
+                group, ahead = waiting.popleft()
+                for path, f in zip(group, ahead.result()):
+                    with f:
+                        yield path, f
 
 
 def _copy(source, sink, start: int, size: int) -> None:

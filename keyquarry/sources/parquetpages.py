@@ -141,15 +141,14 @@ def encode_runs(values: np.ndarray, width: int) -> bytes:
 
 def page_headers(chunk: bytes) -> Iterator[tuple[dict, int, int, int]]:
     """(header, where it begins, where the body begins, where it ends) of a chunk's pages."""
-    reader = tc.Reader(chunk)
-    while reader.at < len(chunk):
-        start = reader.at
-        header = reader.struct()
-        body = reader.at
-        reader.at = body + header[PAGE_SIZE][1]
-        if reader.at > len(chunk):
+    end = 0
+    while end < len(chunk):
+        start = end
+        header, body = tc.read_struct(chunk, start)
+        end = body + header[PAGE_SIZE][1]
+        if end > len(chunk):
             raise ValueError("a page ends behind its chunk")
-        yield header, start, body, reader.at
+        yield header, start, body, end
 
 
 class _Column:

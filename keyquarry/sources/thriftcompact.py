@@ -7,85 +7,96 @@ from __future__ import annotations
 
 # Type codes of the compact protocol.
 TRUE, FALSE, BYTE, I16, I32, I64, DOUBLE, BINARY, LIST, SET, MAP, STRUCT = range(1, 13)
-WHOLE = (I16, I32, I64)
-
-
-class Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def uvarint(self) -> int:
-        data, at = self.data, self.at
-        out = shift = 0
-        while True:
-            b = data[at]
-            at += 1
-            out |= (b & 0x7F) << shift
-            if b < 0x80:
-                self.at = at
-                return out
-            shift += 7
-
-    def varint(self) -> int:
-        n = self.uvarint()
-        return (n >> 1) ^ -(n & 1)
-
-    def take(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
-            raise ValueError("footer ends early")
-        self.at += n
-        return self.data[self.at - n : self.at]
-
-    def value(self, kind: int):
-        if kind in (TRUE, FALSE):  # within a list; in a struct the type is the value
-            return self.take(1) == b"\x01"
-        if kind in WHOLE:
-            return self.varint()
-        if kind == BINARY:
-            return self.take(self.uvarint())
-        if kind == STRUCT:
-            return self.struct()
-        if kind == BYTE:
-            return self.take(1)
-        if kind == DOUBLE:
-            return self.take(8)
-        if kind in (LIST, SET):
-            head = self.take(1)[0]
-            n, element = head >> 4, head & 15
-            if n == 15:
-                n = self.uvarint()
-            return element, [self.value(element) for _ in range(n)]
-        if kind == MAP:
-            n = self.uvarint()
-            if not n:
-                return 0, 0, []
-            kinds = self.take(1)[0]
-            return kinds >> 4, kinds & 15, [(self.value(kinds >> 4), self.value(kinds & 15)) for _ in range(n)]
-        raise ValueError(f"unknown type {kind} in a footer")
-
-    def struct(self, last: int = 0) -> dict:
-        """Fields until the stop mark; those up to `last` lie before."""
-        out, data = {}, self.data
-        while True:
-            at = self.at
-            if at >= len(data):
-                raise ValueError("footer ends early")
-            head = data[at]
-            self.at = at + 1
-            if head == 0:
-                return out
-            kind = head & 15
-            last = last + (head >> 4) if head >> 4 else self.varint()
-            if kind in WHOLE and self.at < len(data) and data[self.at] < 0x80:  # most numbers: one byte, zigzag
-                n = data[self.at]
-                self.at += 1
-                out[last] = (kind, (n >> 1) ^ -(n & 1))
-            elif kind == STRUCT:
-                out[last] = (kind, self.struct())
-            elif kind <= FALSE:
-                out[last] = (kind, kind == TRUE)
+
+
+def _read_uvarint(data: bytes, at: int) -> tuple[int, int]:
+    out = shift = 0
+    while True:
+        b = data[at]
+        at += 1
+        out |= (b & 0x7F) << shift
+        if b < 0x80:
+            return out, at
+        shift += 7
+
+
+def _read_value(data: bytes, at: int, kind: int):
+    if kind in (I16, I32, I64):
+        n, at = _read_uvarint(data, at)
+        return (n >> 1) ^ -(n & 1), at
+    if kind == BINARY:
+        n, at = _read_uvarint(data, at)
+        return data[at : at + n], at + n
+    if kind == STRUCT:
+        return _read_struct(data, at, 0)
+    if kind in (TRUE, FALSE):  # within a list; in a struct the type is the value
+        return data[at] == 1, at + 1
+    if kind == BYTE:
+        return data[at : at + 1], at + 1
+    if kind == DOUBLE:
+        return data[at : at + 8], at + 8
+    if kind in (LIST, SET):
+        head = data[at]
+        at += 1
+        n, element = head >> 4, head & 15
+        if n == 15:
+            n, at = _read_uvarint(data, at)
+        items = []
+        for _ in range(n):
+            v, at = _read_value(data, at, element)
+            items.append(v)
+        return (element, items), at
+    if kind == MAP:
+        n, at = _read_uvarint(data, at)
+        if not n:
+            return (0, 0, []), at
+        kinds = data[at]
+        at += 1
+        items = []
+        for _ in range(n):
+            k, at = _read_value(data, at, kinds >> 4)
+            v, at = _read_value(data, at, kinds & 15)
+            items.append((k, v))
+        return (kinds >> 4, kinds & 15, items), at
+    raise ValueError(f"unknown type {kind} in a structure")
+
+
+def _read_struct(data: bytes, at: int, last: int) -> tuple[dict, int]:
+    out = {}
+    while True:
+        head = data[at]
+        at += 1
+        if head == 0:
+            return out, at
+        kind = head & 15
+        if head >> 4:
+            last += head >> 4
+        else:
+            n, at = _read_uvarint(data, at)
+            last = (n >> 1) ^ -(n & 1)
+        if BYTE < kind < DOUBLE:  # numbers, mostly of one byte
+            n = data[at]
+            if n < 0x80:
+                at += 1
             else:
-                out[last] = (kind, self.value(kind))
+                n, at = _read_uvarint(data, at)
+            out[last] = (kind, (n >> 1) ^ -(n & 1))
+        elif kind <= FALSE:
+            out[last] = (kind, kind == TRUE)
+        else:
+            v, at = _read_value(data, at, kind)
+            out[last] = (kind, v)
+
+
+def read_struct(data: bytes, at: int = 0, last: int = 0) -> tuple[dict, int]:
+    """A structure's fields and where it ends; fields up to `last` lie before `at`."""
+    try:
+        out, end = _read_struct(data, at, last)
+    except IndexError:
+        raise ValueError("a structure ends early") from None
+    if end > len(data):
+        raise ValueError("a structure ends early")
+    return out, end
 
 
 def _uvarint(n: int) -> bytes:
