@@ -74,7 +74,7 @@ def read(spark: SparkSession, path: str, heuristic: str = "all", max_entry_bytes
 
 
 def read_batches(spark: SparkSession, path: str, heuristic: str = "all", max_entry_bytes: int | None = None, types: str | None = None, **options) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """(type, Arrow batch in the export's types) one after the other; the driver holds one partition's batches at a time.
+    """(type, Arrow batch in the export's types) one after the other; the driver holds two partitions' batches at a time.
     The snapshot is decoded once and kept on executors' disks until the last batch is taken."""
     known, chosen = parse_heuristics(heuristic), parse_types(types)
 
@@ -93,9 +93,11 @@ def read_batches(spark: SparkSession, path: str, heuristic: str = "all", max_ent
 
     kept = select_entries(entries(spark, path, types=types, **options), max_entry_bytes=max_entry_bytes, heuristics=known).persist(StorageLevel.DISK_ONLY)
     try:
-        for kind, df in tables(kept, chosen, known).items():
+        with told():
+            seen = {r["type"] for r in summary.type_counts(kept, known).collect()}
+        for kind, df in tables(kept, seen if chosen is None else seen & chosen, known).items():
             with told():
-                for row in df.mapInArrow(pack(kind), "b binary").toLocalIterator():
+                for row in df.mapInArrow(pack(kind), "b binary").toLocalIterator(prefetchPartitions=True):
                     with pa.ipc.open_stream(bytes(row["b"])) as r:
                         for batch in r:
                             yield kind, batch

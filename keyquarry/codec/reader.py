@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 from . import names as N
+from .batches import Packed
 from .crc64 import crc64
 from .errors import CorruptData, InvalidMagic, Truncated, UnknownType, UnsupportedVersion
 from .packed import field_pairs, intset, listpack, lzf_decompress, scored_pairs, text_float, ziplist
@@ -231,13 +232,14 @@ def read_module_values(source: Source, keep: bool) -> list[tuple[str, int | None
 
 class SnapshotReader:
     """Entries of one snapshot, in order. `wanted(db, key, code)` decides before a value is decoded whether it is. With
-    shallow, values that decide no type (all but those of strings and sorted sets) are passed over, their entries aren't."""
+    shallow, values that decide no type (all but those of strings and sorted sets) are passed over, their entries aren't. With
+    keep_packed, values that are listpacks stay so, to be decoded together."""
 
-    def __init__(self, raw, max_key_elements: int | None = N.DEFAULT_CHUNK, verify_crc: bool = True, wanted: Callable[[int, bytes, int], bool] | None = None, shallow: bool = False):
+    def __init__(self, raw, max_key_elements: int | None = N.DEFAULT_CHUNK, verify_crc: bool = True, wanted: Callable[[int, bytes, int], bool] | None = None, shallow: bool = False, keep_packed: bool = False):
         if max_key_elements is not None and max_key_elements < 1:
             raise ValueError("max_key_elements must be 1 or more")
         self.source = Source(raw, verify_crc)
-        self.verify, self.chunk, self.wanted, self.shallow = verify_crc, max_key_elements, wanted, shallow
+        self.verify, self.chunk, self.wanted, self.shallow, self.keep_packed = verify_crc, max_key_elements, wanted, shallow, keep_packed
         self.crc_checked = False
         self.skipped_unknown = 0
         self.db, self.end = 0, None
@@ -248,11 +250,11 @@ class SnapshotReader:
         self._ahead = b
 
     @classmethod
-    def of_part(cls, raw, start: int, end: int, db: int, max_key_elements: int | None = N.DEFAULT_CHUNK, wanted: Callable[[int, bytes, int], bool] | None = None, shallow: bool = False) -> SnapshotReader:
+    def of_part(cls, raw, start: int, end: int, db: int, max_key_elements: int | None = N.DEFAULT_CHUNK, wanted: Callable[[int, bytes, int], bool] | None = None, shallow: bool = False, keep_packed: bool = False) -> SnapshotReader:
         """A reader of the bytes from start to end, which parts() gave; raw stands at start."""
         self = cls.__new__(cls)
         self.source = Source(raw, False, start)
-        self.verify, self.chunk, self.wanted, self.shallow = False, max_key_elements, wanted, shallow
+        self.verify, self.chunk, self.wanted, self.shallow, self.keep_packed = False, max_key_elements, wanted, shallow, keep_packed
         self.crc_checked, self.skipped_unknown = False, 0
         self.db, self.end = db, end
         self.header, self._ahead = Header("", 0), None
@@ -411,6 +413,8 @@ class SnapshotReader:
         s = self.source
         if code == N.STRING:
             return s.string()
+        if self.keep_packed and code in (N.HASH_LISTPACK, N.SET_LISTPACK):
+            return Packed([s.string()])
         if code in (N.HASH_LISTPACK, N.HASH_ZIPLIST):
             return field_pairs((listpack if code == N.HASH_LISTPACK else ziplist)(s.string()))
         if code in (N.ZSET_LISTPACK, N.ZSET_ZIPLIST):
@@ -424,17 +428,15 @@ class SnapshotReader:
         if code == N.LIST_QUICKLIST:
             return [x for _ in range(s.count()) for x in ziplist(s.string())]
         if code == N.LIST_QUICKLIST_2:
-            out = []
+            nodes = []
             for _ in range(s.count()):
                 container = s.length()
-                blob = s.string()
-                if container == 1:
-                    out.append(blob)
-                elif container == 2:
-                    out += listpack(blob)
-                else:
+                if container not in (1, 2):
                     raise CorruptData(f"list: unknown container {container}")
-            return out
+                nodes.append((container, s.string()))
+            if self.keep_packed and all(container == 2 for container, _ in nodes):
+                return Packed([blob for _, blob in nodes])
+            return [x for container, blob in nodes for x in ((blob,) if container == 1 else listpack(blob))]
         if code in (N.STREAM_1, N.STREAM_2, N.STREAM_3):
             return read_stream(s, code)
         if code == N.MODULE_2:

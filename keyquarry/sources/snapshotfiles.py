@@ -22,7 +22,8 @@ from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..codec import names as N
-from ..codec.errors import SnapshotError, Unreadable
+from ..codec.batches import Packed, listpacks
+from ..codec.errors import CorruptData, SnapshotError, Unreadable
 from ..codec.reader import Entry, SnapshotReader
 from ..functions.columns import glob_regex
 from ..functions.schemas import ENTRIES, INFO, parse_types
@@ -118,6 +119,13 @@ def _structs(rows: Iterable[tuple], fields: dict[str, pa.DataType | None]) -> pa
     return pa.StructArray.from_arrays([_u64(c) if t is None else pa.array(c, t) for c, t in zip(columns, fields.values())], list(fields))
 
 
+def _pairs(elements: pa.Array) -> pa.Array:
+    """Fields and values that alternate, as structs without expiry."""
+    at = np.arange(0, len(elements), 2)
+    fields, values = elements.take(pa.array(at)), elements.take(pa.array(at + 1))
+    return pa.StructArray.from_arrays([fields, values, pa.nulls(len(at), pa.int64())], ["field", "value", "expiry_ms"])
+
+
 def _scattered(n: int, rows: list[int], values: list) -> list:
     out = [None] * n
     for r, v in zip(rows, values):
@@ -142,6 +150,8 @@ class _Batch:
             self.bytes += len(e.key) + len(v) + 64
         elif v is None:  # passed over
             self.bytes += len(e.key) + 64
+        elif type(v) is Packed:  # about three bytes of a batch for one that is packed
+            self.bytes += len(e.key) + 64 + 3 * sum(map(len, v.nodes))
         elif type(v) is list:
             self.bytes += len(e.key) + 64 + 24 * len(v) + sum(map(_width, v))
         else:
@@ -161,16 +171,31 @@ class _Batch:
             mine = [value[i] for i in rows]
             return rows, [len(v) for v in mine], chain.from_iterable(mine)
 
-        def lists(name: str, make: Callable[[Iterable], pa.Array]) -> pa.Array:
+        def lists(name: str, make: Callable[[Iterable], pa.Array], unpacked: Callable[[pa.Array], pa.Array] | None = None) -> pa.Array:
+            packed = [i for i in of.get(name, []) if type(value[i]) is Packed]
+            if not packed:
+                rows, sizes, items = nested(name)
+                return _lists(n, rows, sizes, make(items))
+            of[name] = [i for i in of[name] if type(value[i]) is not Packed]
             rows, sizes, items = nested(name)
-            return _lists(n, rows, sizes, make(items))
+            counts, elements = listpacks([b for i in packed for b in value[i].nodes])
+            per_node = np.repeat(np.arange(len(packed)), [len(value[i].nodes) for i in packed])
+            counts = np.bincount(per_node, counts, len(packed)).astype(np.int64)
+            if name == "hash":
+                if (counts % 2).any():
+                    raise CorruptData("hash: a field without value")
+                counts //= 2
+            apart = pa.concat_arrays([_lists(len(packed), list(range(len(packed))), counts.tolist(), unpacked(elements)), _lists(len(rows), list(range(len(rows))), sizes, make(items))])
+            order = np.full(n, -1, dtype=np.int64)  # each row's place there, or none
+            order[packed + rows] = np.arange(len(packed) + len(rows))
+            return apart.take(pa.array(order, mask=order < 0))
 
         arrays = [
             pa.array([self.file] * n, TEXT), pa.array(range(first, first + n), LONG), pa.array(db, LONG), pa.array(key, BINARY), pa.array(code, pa.int16()), pa.array(kind, TEXT), pa.array(encoding, TEXT),
             pa.array(expiry, LONG), _u64(idle), pa.array(freq, pa.int16()), pa.array(total, LONG), pa.array(offset, LONG), pa.array([v if type(v) is bytes else None for v in value], BINARY),
-            lists("elems", lambda items: pa.array(list(items), BINARY)),
+            lists("elems", lambda items: pa.array(list(items), BINARY), lambda elements: elements),
             lists("zset", lambda items: _structs(items, {"member": BINARY, "score": DOUBLE})),
-            lists("hash", lambda items: _structs(items, {"field": BINARY, "value": BINARY, "expiry_ms": LONG})),
+            lists("hash", lambda items: _structs(items, {"field": BINARY, "value": BINARY, "expiry_ms": LONG}), _pairs),
             self._modules(n, of.get("module", []), value), self._streams(n, of.get("stream", []), value),
         ]
         self.entries, self.bytes = [], 0
@@ -226,7 +251,7 @@ def read_batches(path: str, o: dict) -> Iterator[pa.RecordBatch]:
     """Arrow batches of one file's entries."""
     try:
         with open_snapshot(path) as raw:
-            reader = SnapshotReader(raw, o["chunk"], o["verify"], wanted_by(o), o["shallow"])
+            reader = SnapshotReader(raw, o["chunk"], o["verify"], wanted_by(o), o["shallow"], True)
             yield from _batched(path, reader, o, 0)
     except SnapshotError as e:
         raise _of_file(path, e) from None
@@ -276,7 +301,7 @@ def read_part(path: str, part: int, start: int, end: int, db: int, o: dict) -> I
         filesystem, name = open_fs(path)
         with filesystem.open_input_file(name) as raw:
             raw.seek(start)
-            yield from _batched(path, SnapshotReader.of_part(raw, start, end, db, o["chunk"], wanted_by(o), o["shallow"]), o, part * PART_ENTRIES)
+            yield from _batched(path, SnapshotReader.of_part(raw, start, end, db, o["chunk"], wanted_by(o), o["shallow"], True), o, part * PART_ENTRIES)
     except SnapshotError as e:
         raise _of_file(path, e) from None
     except OSError as e:

@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import struct
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keyquarry.codec import names as N
-from keyquarry.codec import packed, reader
+from keyquarry.codec import batches, packed, reader
 from keyquarry.codec.crc64 import crc64, shift
 from keyquarry.codec.errors import CorruptData, InvalidMagic, Truncated, UnsupportedVersion, from_message
 from keyquarry.codec.streams import entries_of
@@ -330,3 +331,21 @@ def test_chunks(code, item):
 def test_packed_values_are_never_chunked():
     (e,) = read(E.Snapshot().add(N.HASH_LISTPACK, b"k", E.string(E.listpack([b"a", b"1", b"b", b"2"]))).bytes(), max_key_elements=1)
     assert len(e.value) == 2 and e.total is None
+
+
+# Listpacks of many keys at once
+
+
+def test_listpacks_together():
+    """Of each kind of element, of some length, of many and few listpacks: what the reader of single ones gives."""
+    rnd = random.Random(7)
+    kinds = [lambda: b"", lambda: b"%d" % rnd.choice([0, 1, 127, 128, -1, 4095, -4096, 4096, -(2**15), 2**15, 2**23 - 1, -(2**23), 2**31 - 1, -(2**31), 2**63 - 1, -(2**63)]), lambda: rnd.randbytes(rnd.randint(1, 63)), lambda: rnd.randbytes(rnd.choice([64, 126, 127, 128, 4095, 5000])), lambda: b"007", lambda: b"text"]
+    for n in (0, 1, 60, 400):
+        blobs = [E.listpack([rnd.choice(kinds if rnd.random() < 0.1 else kinds[:3])() for _ in range(rnd.randint(0, 30))]) for _ in range(n)]
+        counts, elements = batches.listpacks(blobs)
+        want = [packed.listpack(b) for b in blobs]
+        assert counts.tolist() == [len(w) for w in want] and elements.to_pylist() == [e for w in want for e in w]
+    good = [E.listpack([b"a", b"%d" % i]) for i in range(100)]
+    for bad in (b"", good[0][:-1], good[0][:4] + b"\x00\x00" + good[0][6:-2] + b"\x05\xff", b"\x08\x00\x00\x00\x01\x00\x05\x05", good[0][:6] + b"\xff" + good[0][7:]):
+        with pytest.raises(CorruptData):
+            batches.listpacks([*good, bad])
