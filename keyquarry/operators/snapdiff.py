@@ -39,7 +39,7 @@ def add_ordinals(keys: DataFrame, path: str) -> DataFrame:
     """The dictionary at path after what is new in keys (node_id and key columns, no row twice) has been added to it.
 
     Known keys keep their ordinals. New ones lie above the largest known, from a new word on, and follow each other
-    within a task, so that words are full. They are appended in one commit; a task that is repeated before it may number
+    within a task, so that words are full. One run at a time may add. They are appended in one commit; a task that is repeated before it may number
     anew, as nothing has been read of it. Null key columns are values like any other.
     """
     spark, names = keys.sparkSession, keys.columns
