@@ -117,8 +117,9 @@ def export(spark: SparkSession, path: str, out: str, form: str = "parquet", comp
     sinks.parse_compression(compression)
     known, chosen = parse_heuristics(heuristic), parse_types(types)
     with told():
-        head = read_info(spark, path, verifyCrc=options.get("verify_crc")).orderBy("file").select("file", "aux", "skipped_unknown").collect()  # a row per file
-        found = entries(spark, path, db=db, types=types, key_pattern=key_pattern, **options)
+        # One pass without decoding tells of metadata and skipped values and compares the checksum; the next needn't.
+        head = read_info(spark, path, verifyCrc=options.pop("verify_crc", None)).orderBy("file").select("file", "aux", "skipped_unknown").collect()  # a row per file
+        found = entries(spark, path, db=db, types=types, key_pattern=key_pattern, verify_crc=False, **options)
         found = select_entries(found, db, chosen, key_pattern, None, known)
         return sinks.export(found, out, form, chosen, known, compression, row_group_size, shard, {r["file"]: r["aux"] for r in head}, max_entry_bytes, sum(r["skipped_unknown"] for r in head))
 

@@ -16,6 +16,8 @@ from .packed import listpack
 
 #: Fewer listpacks than this are read one by one.
 FEW = 48
+#: Bytes of elements that are gathered at a time.
+GATHER = 4 << 20
 
 
 class Packed(NamedTuple):
@@ -117,8 +119,13 @@ def listpacks(blobs: Sequence[bytes]) -> tuple[np.ndarray, pa.Array]:
         source.append(b"".join(flat))
         from_[apart], lengths[apart] = offset + np.cumsum(many) - many, many
     out = np.concatenate([[0], np.cumsum(lengths)])
-    taken = np.repeat(from_ - out[:-1], lengths) + np.arange(int(out[-1]))
-    data = (np.frombuffer(b"".join(source), np.uint8) if len(source) > 1 else buf)[taken]
-    if out[-1] < 2**31:
-        return counts, pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(out.astype(np.int32)), pa.py_buffer(data)])
-    raise ValueError("a batch of more than 2 GiB of elements")
+    if out[-1] >= 2**31:
+        raise ValueError("a batch of more than 2 GiB of elements")
+    pool, data, at_element = np.frombuffer(b"".join(source), np.uint8), np.empty(int(out[-1]), np.uint8), 0
+    while at_element < total:  # an index takes eight times the bytes that it picks, so some at a time
+        low = int(out[at_element])
+        to = max(at_element + 1, int(np.searchsorted(out, low + GATHER, side="right")) - 1)
+        many = lengths[at_element:to]
+        data[low : int(out[to])] = pool[np.repeat(from_[at_element:to] - out[at_element:to] + low, many) + np.arange(int(out[to]) - low)]
+        at_element = to
+    return counts, pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(out.astype(np.int32)), pa.py_buffer(data)])

@@ -104,6 +104,16 @@ def _arrow_files(df: DataFrame, folder: str, schema: pa.Schema, form: str, row_g
     return sum(r["rows"] for r in done)
 
 
+def _move_folder(filesystem: pafs.FileSystem, source: str, target: str) -> None:
+    """Rename a folder, or, where the storage knows no folders, move its files."""
+    try:
+        filesystem.move(source, target)
+    except (OSError, NotImplementedError):
+        filesystem.create_dir(target, recursive=True)
+        for f in filesystem.get_file_info(pafs.FileSelector(source)):
+            filesystem.move(f.path, f"{target}/{f.base_name}")
+
+
 def write_table(df: DataFrame, folder: str, kind: str, form: str = "parquet", compression: str = "zstd", row_group_size: int | None = None, metadata: dict[str, str] | None = None, expected: int | None = None) -> None:
     """Write the table of a type; files of Parquet and Arrow IPC have its arrow_schema, with the metadata in the footer.
 
@@ -129,7 +139,7 @@ def write_table(df: DataFrame, folder: str, kind: str, form: str = "parquet", co
             hexed(df).write.json(beside)
         if filesystem.get_file_info(name).type == pafs.FileType.Directory:
             filesystem.delete_dir(name)
-        filesystem.move(aside, name)
+        _move_folder(filesystem, aside, name)
     finally:
         if filesystem.get_file_info(aside).type == pafs.FileType.Directory:
             filesystem.delete_dir(aside)

@@ -336,8 +336,10 @@ def test_packed_values_are_never_chunked():
 # Listpacks of many keys at once
 
 
-def test_listpacks_together():
+@pytest.mark.parametrize("gather", [batches.GATHER, 100])
+def test_listpacks_together(monkeypatch, gather):
     """Of each kind of element, of some length, of many and few listpacks: what the reader of single ones gives."""
+    monkeypatch.setattr(batches, "GATHER", gather)
     rnd = random.Random(7)
     kinds = [lambda: b"", lambda: b"%d" % rnd.choice([0, 1, 127, 128, -1, 4095, -4096, 4096, -(2**15), 2**15, 2**23 - 1, -(2**23), 2**31 - 1, -(2**31), 2**63 - 1, -(2**63)]), lambda: rnd.randbytes(rnd.randint(1, 63)), lambda: rnd.randbytes(rnd.choice([64, 126, 127, 128, 4095, 5000])), lambda: b"007", lambda: b"text"]
     for n in (0, 1, 60, 400):
