@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compaction, history, skewstats, snapdiff, snapshots, widetable
 from ..runtime import small_table, utf8
+from ..sources.parquetblocks import SMALL_BYTES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +86,9 @@ def p2_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the joined files hold, and whether their row groups are few: no more than files of the input's bytes need, and
-    two for each further million rows."""
-    report = joined_stream(spark, sf_dir)[1].agg(*[F.sum(c).alias(c) for c in ("n_files", "n_blocks", "n_groups", "n_rows")], F.count(F.lit(1)).alias("n_out"))
-    return report.select("n_files", "n_blocks", "n_rows", (F.col("n_groups") <= F.col("n_out") + 2 * F.ceil(F.col("n_rows") / 1_000_000)).alias("few_groups"), (F.col("n_out") * 50 <= F.col("n_files")).alias("few_files"))
+    """What the joined files hold, and whether files are few and row groups of some size: all but one of each file."""
+    report = joined_stream(spark, sf_dir)[1].agg(*[F.sum(c).alias(c) for c in ("n_files", "n_blocks", "n_groups", "n_rows", "n_bytes")], F.count(F.lit(1)).alias("n_out"))
+    return report.select("n_files", "n_blocks", "n_rows", ((F.col("n_groups") - F.col("n_out")) * SMALL_BYTES <= F.col("n_bytes")).alias("few_groups"), (F.col("n_out") * 50 <= F.col("n_files")).alias("few_files"))
 
 
 def p2_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:

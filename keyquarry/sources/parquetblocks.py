@@ -20,8 +20,9 @@ MAGIC = b"PAR1"
 COPY_BYTES = 8 << 20
 #: Threads that open files ahead of the one that is being copied, so many at a time; those of up to AHEAD_BYTES are read.
 READERS, AHEAD_FILES, AHEAD_BYTES = 4, 32, 256 << 10
-#: Row groups of less are merged, into groups of about so many bytes, or rows.
-SMALL_BYTES, GROUP_BYTES, MOST_ROWS = 4 << 20, 64 << 20, 1 << 20
+#: Row groups of less are merged, into groups of about so many bytes, or rows. A group costs a reader as much as some
+#: 30 KiB do, so that of larger ones reading gains nothing by merging.
+SMALL_BYTES, GROUP_BYTES, MOST_ROWS = 128 << 10, 64 << 20, 1 << 20
 
 # Field ids of the Parquet footer's structures.
 META_VERSION, META_SCHEMA, META_ROWS, META_GROUPS, META_KEY_VALUE, META_ORDERS, META_ENCRYPTION = 1, 2, 3, 4, 5, 7, 8
