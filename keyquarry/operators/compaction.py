@@ -28,7 +28,7 @@ FACTS = "path string, length bigint, signature string, n_blocks bigint, n_rows b
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of the Parquet files under path; Spark lists them, in parallel where they are many."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("path").endswith(".parquet")).select("path", "length")
+    return materialize(files.where(F.col("path").endswith(".parquet")).select("path", "length"), "listing")
 
 
 def read_facts(files: DataFrame) -> DataFrame:
